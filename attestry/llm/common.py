@@ -86,25 +86,33 @@ def key_bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
     )
 
 
-def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """Rows whose key may be in the bitmap: none that is in it is lost; a later join decides exactly.
+def flagged(df: DataFrame, key: str, bitmap: DataFrame, flag: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """df with a boolean: false only if the key surely isn't in the bitmap. No key in it is lost; a later join decides.
 
     The bitmap is broadcast: its size is bounded by ``bits``, not by the data.
     """
     at = _position(F.col(key), bits)
     low = at.bitwiseAND(F.lit(32767)).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(low, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("_byte & shiftleft(1, _low & 7)") != 0
     return (
         df.withColumn("_bucket", F.shiftright(at, 15))
-        .withColumn("_low", low)
-        .join(F.broadcast(bitmap), "_bucket")
-        .withColumn("_byte", byte)
-        .where(hit)
-        .drop("_bucket", "_low", "_byte", "_bits")
+        .join(F.broadcast(bitmap), "_bucket", "left")
+        .withColumn(flag, F.coalesce((byte.bitwiseAND(F.expr(f"shiftleft(1, cast(xxhash64(`{key}`) & 7 as int))")) != 0), F.lit(False)))
+        .drop("_bucket", "_bits")
     )
 
 
+def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """Rows whose key may be in the bitmap."""
+    return flagged(df, key, bitmap, "_maybe", bits).where("_maybe").drop("_maybe")
+
+
+def parts(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among keys' column of that name, the others). Rows of the second part need no shuffle."""
+    both = flagged(df, key, written(key_bitmap(keys, key, bits), "bitmap"), "_maybe", bits)
+    return both.where("_maybe").drop("_maybe"), both.where("NOT _maybe").drop("_maybe")
+
+
 def remove_shared(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder; call it when its results have been stored."""
     path = _own_dirs.pop(spark.sparkContext.applicationId, None)

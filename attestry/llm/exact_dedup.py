@@ -88,6 +88,7 @@ def _unequal(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column
     near = near.select("doc_id", "_text", digest(F.col("_text")).alias("digest"))
     keepers = hits.where("uid = keep_uid").select("digest", F.col("keep_id"))
     first = near.alias("a").join(keepers.alias("b"), (F.col("a.digest") == F.col("b.digest")) & F.col("a.doc_id").eqNullSafe(F.col("b.keep_id"))).groupBy("a.digest").agg(F.min("a._text").alias("_kept_text"))
+    first = common.written(first, "kept_texts")  # so that Spark may split a hot digest in the join
     unequal = near.join(first, "digest").where(F.col("_text") != F.col("_kept_text"))
     return common.written(unequal.select("doc_id", "digest", "_text"), "unequal")
 
@@ -116,14 +117,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the largest doc_id stays, with all its columns."""
-    kept = decide(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    return (
-        docs.withColumn("_d", sha256(normalised(F.col("text"))))
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")), "left_semi")
-        .dropDuplicates(["doc_id", "_d"])
-        .select(docs.columns)
-    )
+    """Pipeline stage: of equal texts the row with the largest doc_id stays, with all its columns.
+
+    Only rows whose doc_id may be that of a row in a group are read into a shuffle.
+    """
+    decided = common.written(decide(docs).where("group_size > 1").select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), "digest", "kept"), "groups")
+    kept = decided.where("kept").select("_key", "digest").distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("_key"), F.col("text"))
+    near, far = common.parts(row, "_key", decided.select("_key"))
+    near = near.withColumn("digest", sha256(normalised(F.col("text")))).select("row", "_key", "digest")
+    free = near.join(decided.select("_key", "digest"), ["_key", "digest"], "left_anti")
+    once = near.join(kept, ["_key", "digest"], "left_semi").dropDuplicates(["_key", "digest"])
+    return far.select("row").unionByName(free.select("row")).unionByName(once.select("row")).select("row.*")
 
 
 SQL = """
