@@ -1 +1 @@
-"""."""
+"""Column expressions and byte-level functions."""

@@ -1 +1 @@
-"""."""
+"""Profiles, fingerprints, validation, differences, leakage and personal data."""

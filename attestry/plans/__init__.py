@@ -1 +1 @@
-"""."""
+"""Contracts, and the catalogue of queries."""

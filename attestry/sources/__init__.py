@@ -1 +1 @@
-"""."""
+"""Where data comes from, and which row is which."""

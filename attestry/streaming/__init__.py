@@ -1 +1 @@
-"""."""
+"""Rules over data that keep arriving."""
