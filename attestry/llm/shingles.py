@@ -13,7 +13,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse, modulo 2**64, for i below n."""
     got = _powers.get(base)
     if got is None or len(got[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = 1 << max(12, (n - 1).bit_length())
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, np.uint64)
@@ -64,7 +64,7 @@ class Words:
         return sums(self.hashes, at, at + n, _Q)
 
 
-def chunks(texts: list[bytes], most: int = 4 << 20):
+def chunks(texts: list[bytes], most: int = 1 << 20):
     """(begin, end) of runs of texts of about `most` bytes."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
@@ -74,3 +74,10 @@ def chunks(texts: list[bytes], most: int = 4 << 20):
             begin, size = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def slices(batches, rows: int = 1_000):
+    """Arrow batches in parts, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import Words, chunks
+from .shingles import Words, chunks, slices
 
 WINDOW, MINIMISER = 50, 8
 #: Positions of the bitmap of shared minimisers (16 MB).
@@ -81,7 +81,7 @@ def runs(words: Words, at: np.ndarray, plain: np.ndarray, travel: np.ndarray) ->
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray, list]]:
-    for batch in batches:
+    for batch in slices(batches):
         ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
         texts = [canonical(t) for t in batch.column(2).to_pylist()]
         for a, b in chunks(texts):
