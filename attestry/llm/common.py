@@ -1,71 +1,36 @@
-"""What the operators share: shipping code, shared folders, written tables, bounded key filters."""
+"""What the operators share: tables, bounded key filters, the place of vocabulary files."""
 
 from __future__ import annotations
 
-import atexit
-import itertools
 import os
-import shutil
-import tempfile
-import uuid
-import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parent.parent
-#: Positions of a key bitmap: 2 MB in all, whatever the input's size.
-BITMAP_BITS = 24
-_shipped: set[str] = set()
-_own_dirs: dict[str, str] = {}
-_numbers = itertools.count()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    at = Path(tempfile.mkdtemp(prefix="attestry-code-"))
-    with zipfile.ZipFile(at / "attestry_code.zip", "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, str(p.relative_to(PACKAGE.parent)))
-    sc.addPyFile(str(at / "attestry_code.zip"))
-    _shipped.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="attestry-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-            base = f"file://{base}"
-        _own_dirs[app] = f"{base.rstrip('/')}/attestry-{uuid.uuid4().hex}"
-    return _own_dirs[app]
+from ..cluster import new_path, remove_shared, shared_dir, ship, written
 
+__all__ = ["flagged", "key_bitmap", "maybe_in", "new_path", "partitions", "parts", "remove_shared", "shared_dir", "ship", "small_batches", "table", "tokenizer_path", "written"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{next(_numbers)}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage is cut, and lost executors lose nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Positions of a key bitmap: 2 MB in all, whatever the input's size.
+BITMAP_BITS = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def with_context(spark: SparkSession) -> SparkSession:
-    ship(spark)
-    return spark
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """For jobs that start within: so many rows at a time go to Python, where rows are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -113,15 +78,6 @@ def parts(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS) ->
     return both.where("_maybe").drop("_maybe"), both.where("NOT _maybe").drop("_maybe")
 
 
-def remove_shared(spark: SparkSession) -> None:
-    """Delete what this application wrote to the shared folder; call it when its results have been stored."""
-    path = _own_dirs.pop(spark.sparkContext.applicationId, None)
-    if path:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def tokenizer_path(name: str) -> str:
     """Place of a vocabulary file; ATTESTRY_TOKENIZERS names another folder than the installed one."""
     folder = os.environ.get("ATTESTRY_TOKENIZERS")
