@@ -6,10 +6,12 @@ of the shingle's weight, the first in each register wins, and a shingle stops on
 registers. Two signatures agree in a register with the probability Jaccard similarity of their texts.
 
 1. Texts with the same words collapse to one class, so groups of copies cost one signature each.
-2. Classes that agree in a band of registers are candidates. In each bucket every class meets the least one; pairs
-   whose signatures come near enough are verified exactly on their shingles, and links are joined to components.
-3. In buckets that still hold several components, classes of different components meet as well, so no link between
-   different texts is lost. Only pairs whose signatures come near enough become rows.
+2. Classes that agree in a band of registers are candidates. In each bucket every class meets a pivot, another one in
+   each band; pairs whose signatures come near enough are verified exactly on their shingles, and links are joined to
+   components. Large groups of near copies are all but joined by that, at a cost linear in their size.
+3. Buckets that still hold several components: classes outside the bucket's largest component meet the others, so no
+   link between different texts is lost. In large buckets they do so in tiles of bounded size that carry the shingles
+   themselves: pairs are verified where they meet, and only links that join two components become rows.
 
 Defined results: similarity is the exact probability Jaccard, LEAST or more; a text of fewer than five words has one
 shingle; a text without words is alone in its class, as is a null one; rows repeated with one doc_id and text are of
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,13 +33,15 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .shingles import Words, chunks, mixed, sums
+from .shingles import Words, chunks, mixed, slices, sums
 
 SHINGLE, LEAST = 5, 0.8
 #: Registers, and registers in a band: texts of similarity 0.8 share a band with probability 0.998.
 REGISTERS, BAND = 80, 5
-#: Registers that must agree before a pair is verified: 5.5 standard deviations below what 0.8 gives.
-AGREE = 44
+#: Registers that must agree before a pair is verified: four standard deviations below what 0.8 gives.
+AGREE = 50
+#: Classes of a bucket that meet in a plain join; sides of a tile in larger ones.
+SMALL, TILE = 32, (512, 2048)
 _words = re.compile(r"[^\W_]+").findall
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -113,7 +118,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """uid, doc_id, th, key (of the words; null without any), bands, sig: one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [canonical(t) for t in batch.column(3).to_pylist()]
             keys = [hashlib.blake2b(t, digest_size=16).digest() if t else None for t in texts]
             for a, b in chunks(texts):
@@ -145,10 +150,9 @@ def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose exact similarity is `least` or more."""
-    ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    wanted = common.written(reps.join(ids, "uid").select("uid", F.coalesce("doc_id", F.lit(-1)).alias("_key"), "th"), "wanted")
+def _sets(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """uid, set (hashes and weights of the shingles) of the classes in ids; only texts that may be theirs are shuffled."""
+    wanted = common.written(reps.join(ids.distinct(), "uid").select("uid", F.coalesce("doc_id", F.lit(-1)).alias("_key"), "th"), "wanted")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_key"), F.xxhash64("text").alias("th"), "text")
     near, _ = common.parts(rows, "_key", wanted)
     texts = near.join(wanted, ["_key", "th"]).select("uid", "text").dropDuplicates(["uid"])
@@ -163,42 +167,125 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, least: float)
             out += [h[x:y].tobytes() + w[x:y].astype(np.uint32).tobytes() for x, y in zip(cut, cut[1:], strict=False)]
         return pd.Series(out, dtype=object)
 
+    return common.written(texts.select("uid", shingled.asNondeterministic()("text").alias("set")), "sets")
+
+
+def _unpacked(s: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(s) // 12
+    return np.frombuffer(s, np.uint64, n), np.frombuffer(s, np.uint32, n, n * 8)
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose exact similarity is `least` or more."""
+    sets = _sets(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))), reps, docs)
+
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        def parts(s: bytes):
-            n = len(s) // 12
-            return np.frombuffer(s, np.uint64, n), np.frombuffer(s, np.uint32, n, n * 8)
+        return pd.Series([similarity(_unpacked(x), _unpacked(y)) for x, y in zip(a, b, strict=True)], dtype=float)
 
-        return pd.Series([similarity(parts(x), parts(y)) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    sets = common.written(texts.select("uid", shingled.asNondeterministic()("text").alias("set")), "sets")
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
     return common.written(both.select("a", "b", alike.asNondeterministic()("x", "y").alias("s")).where(F.col("s") >= least - 1e-9).select("a", "b"), "links")
 
 
+def _tiles(crowded: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between components, of classes outside their bucket's largest component with all others of it.
+
+    Both sides of a tile are of bounded size, and a tile gives fewer links than it holds components.
+    """
+    rows = crowded.join(sets, "uid")
+    down, across = F.ceil(F.col("strays") / TILE[0]).cast("int"), F.ceil(F.col("n") / TILE[1]).cast("int")
+    part = lambda n, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), n).cast("int")
+    cols, key = ["uid", "root", "sig", "set", "band", "bucket", "i", "j"], ["band", "bucket", "i", "j"]
+    left = rows.where("root <> large").withColumn("i", part(down, 1)).withColumn("j", F.explode(F.sequence(F.lit(0), across - 1))).select(cols)
+    right = rows.withColumn("j", part(across, 2)).withColumn("i", F.explode(F.sequence(F.lit(0), down - 1)))
+    right = right.select([F.col(c).alias(f"{c}_") for c in cols])  # other names: both sides come from one table
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            mine, theirs = [_unpacked(s) for s in x["set"]], [_unpacked(s) for s in y["set_"]]
+            out = joined_by(np.stack(x["sig"].to_list()), np.stack(y["sig_"].to_list()), mine, theirs, *(c.to_numpy() for c in (x["uid"], y["uid_"], x["root"], y["root_"])), least)
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return left.groupBy(key).cogroup(right.groupBy([f"{c}_" for c in key])).applyInPandas(run, "a long, b long")
+
+
+def joined_by(sa, sb, mine: list, theirs: list, ua, ub, ra, rb, least: float) -> list[tuple[int, int]]:
+    """Pairs (of ua, of ub) that are similar and join two of the components ra, rb, as few as will do."""
+    hashes = np.concatenate([h for h, _ in [*mine, *theirs]])
+    ids = np.unique(hashes, return_inverse=True)[1]
+    sizes_a, sizes_b = (np.array([len(h) for h, _ in sets]) for sets in (mine, theirs))
+    at_a = np.concatenate([[0], np.cumsum(sizes_a)])
+    ids_a, ids_b = ids[:at_a[-1]], ids[at_a[-1]:]
+    at_b = np.concatenate([[0], np.cumsum(sizes_b)[:-1]])
+    plain_a, plain_b = (np.array([bool((w == 1).all()) for _, w in sets]) for sets in (mine, theirs))
+    mark = np.zeros(ids.max() + 1, np.int32)
+    parent: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while parent.setdefault(r, r) != r:
+            r = parent[r]
+        return r
+
+    out = []
+    for k in range(len(sa)):
+        near = ((sb == sa[k]).sum(axis=1) >= AGREE) & (rb != ra[k])
+        if not near.any():
+            continue
+        own = ids_a[at_a[k]:at_a[k + 1]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[ids_b], at_b)
+        mark[own] = 0
+        if plain_a[k]:
+            good = near & plain_b & (shared >= (least - 1e-9) * (sizes_a[k] + sizes_b - shared))
+            rest = near & ~plain_b
+        else:
+            good, rest = np.zeros(len(near), bool), near.copy()
+        for j in np.flatnonzero(rest & (shared > 0)).tolist():
+            good[j] = find(int(rb[j])) != find(int(ra[k])) and similarity(mine[k], theirs[j]) >= least - 1e-9
+        roots, first = np.unique(rb[good], return_index=True)
+        places = np.flatnonzero(good)[first]
+        for r, j in zip(roots.tolist(), places.tolist(), strict=True):
+            x, y = find(int(ra[k])), find(r)
+            if x != y:
+                parent[x] = y
+                out.append((int(ua[k]), int(ub[j])))
+    return out
+
+
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """uid, doc_id, th, class (a number), class_id (the least doc_id of the class), class_size, keep_uid."""
+    with common.small_batches(docs.sparkSession):
+        return _classes(docs, least)
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
     rows = signed(docs)
     groups = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("uid").alias("rep"))
     groups = common.written(groups, "groups")
     reps = rows.join(groups.select(F.col("rep").alias("uid")), "uid", "left_semi")
     members = common.written(reps.select("uid", F.posexplode("bands").alias("band", "bucket")), "bands")
-    buckets = members.groupBy("band", "bucket").agg(F.min("uid").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = common.written(members.join(buckets, ["band", "bucket"]).select("uid", "lead", "band", "bucket"), "shared")
+    pivot = F.min(F.struct(F.xxhash64("uid", "band").alias("h"), "uid")).alias("pivot")
+    buckets = members.groupBy("band", "bucket").agg(pivot, F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket", F.col("pivot.uid").alias("lead"), "n")
+    shared = common.written(members.join(buckets, ["band", "bucket"]).select("uid", "lead", "band", "bucket", "n"), "shared")
     sigs = reps.select("uid", "sig")
-    stars = common.written(_near(shared.where("uid <> lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")), sigs), "stars")
-    links = _verified(stars, reps, docs, least)
-    roots = components(links)
-    # buckets that hold classes of several components: those meet as well
-    placed = shared.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "band", "bucket", F.coalesce("root", "uid").alias("root"))
-    open_ = placed.groupBy("band", "bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band", "bucket")
-    still = common.written(placed.join(open_, ["band", "bucket"]).join(sigs, "uid"), "open")
-    left, right = (still.select(F.col("uid").alias(f"{s}"), F.col("root").alias(f"r{s}"), F.col("sig").alias(f"s{s}"), "band", "bucket") for s in "ab")
-    more = left.join(right, ["band", "bucket"]).where((F.col("ra") < F.col("rb")) & _agree("sa", "sb")).select("a", "b").distinct()
-    old = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = common.written(more.join(old, ["a", "b"], "left_anti"), "more")
+    stars = shared.where("uid <> lead").select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b"))
+    links = _verified(common.written(_near(stars, sigs), "stars"), reps, docs, least)
+    roots = common.written(components(links), "roots")
+    # with two classes in a bucket its one pair has been seen
+    placed = shared.where("n > 2").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "band", "bucket", "n", F.coalesce("root", "uid").alias("root"))
+    each = placed.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("m"))
+    open_ = each.groupBy("band", "bucket").agg(F.max_by("root", "m").alias("large"), F.count(F.lit(1)).alias("k"), F.max("m").alias("m")).where("k > 1").select("band", "bucket", "large", "m")
+    still = common.written(placed.join(open_, ["band", "bucket"]).join(sigs, "uid").select("uid", "root", "sig", "band", "bucket", "large", "n", (F.col("n") - F.col("m")).alias("strays")), "open")
+    few, crowded = still.where(F.col("n") <= SMALL), still.where(F.col("n") > SMALL)
+    left, right = (few.select(F.col("uid").alias(s), F.col("root").alias(f"r{s}"), F.col("sig").alias(f"s{s}"), "band", "bucket") for s in "ab")
+    pairs = left.join(right, ["band", "bucket"]).where((F.col("ra") < F.col("rb")) & _agree("sa", "sb")).select("a", "b")
+    more = [_verified(common.written(pairs.distinct(), "pairs"), reps, docs, least)]
+    if not crowded.isEmpty():
+        more.append(common.written(_tiles(crowded, _sets(crowded.select("uid"), reps, docs), least), "tiles"))
+    more = common.written(reduce(DataFrame.unionByName, more), "more")
     if not more.isEmpty():
-        roots = components(links.unionByName(_verified(more, reps, docs, least)))
+        roots = components(links.unionByName(more))
     at = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("class"))
     placed = rows.select("uid", "doc_id", "th", "key").join(at, "key", "left").select("uid", "doc_id", "th", F.coalesce("class", "uid").alias("class"))
     placed = common.written(placed, "placed")
