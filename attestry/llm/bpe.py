@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
+from array import array
 
 import pandas as pd
 import regex
@@ -117,13 +119,17 @@ class WordCodec:
 
     def __init__(self, path: str):
         self.merger = Merger(path)
-        self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+").findall
+        self.wide = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+").findall
+        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+").findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.merger.specials)) + ")")
         self.memory = Memory(self._piece)
 
+    def pieces(self, text: str) -> list[str]:
+        return self.ascii(text.lower()) if text.isascii() else self.wide(self._plain(text))
+
     def _piece(self, piece: str) -> tuple[bytes, str]:
         ids = self.merger.merge(piece)
-        return b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids)
+        return array("I", ids).tobytes(), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings; this vocabulary file names no decoder, so a space stands between two of them."""
@@ -142,7 +148,7 @@ class WordCodec:
                 ids.append(self.merger.specials[part].to_bytes(4, "little"))
                 strings.append(part)
                 continue
-            found = [memory[p] for p in self.pieces(self._plain(part))]
+            found = [memory[p] for p in self.pieces(part)]
             ids += [x[0] for x in found]
             strings += [x[1] for x in found]
         return b"".join(ids), " ".join(strings)

@@ -13,7 +13,9 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -23,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import SPACE, Memory
+from .bpe import SPACE, Memory, byte_letters
 
 CAPACITY = 2048
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: The same for plain ASCII, where it is read twice as fast.
+ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -42,17 +46,18 @@ class ByteCodec:
         self.tok = tok
         self.special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
-        self.pieces = regex.compile(PATTERN).findall
+        self.wide, self.ascii = regex.compile(PATTERN).findall, re.compile(ASCII).findall
         model = tok.model
         self.tokenize = model.tokenize
-        from .bpe import byte_letters
-
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.memory = Memory(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        letters = self.letters
-        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenize("".join([letters[b] for b in piece.encode()])))
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def pieces(self, text: str) -> list[str]:
+        return self.ascii(text) if text.isascii() else self.wide(text)
 
     def encode(self, text: str) -> bytes:
         memory = self.memory
