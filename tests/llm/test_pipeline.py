@@ -1,0 +1,40 @@
+import importlib
+import sys
+
+from pyspark.sql import functions as F
+
+
+def test_stages(spark, sample):
+    import corpus_pipeline as P
+
+    from attestry.llm import common, exact_dedup
+
+    assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "secrets", "packing"]
+    docs = common.table(spark, sample, "documents")
+    seen = [docs]
+    for name, stage in P.STAGES[:-1]:
+        out = common.written(stage(spark, seen[-1], sample), name)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        seen.append(out)
+    start, clean, unique, apart, masked = seen
+    assert clean.count() < start.count() and clean.join(start, docs.columns, "left_anti").count() == 0
+    assert unique.count() == clean.select(exact_dedup.normalised(F.col("text"))).distinct().count()
+    assert apart.join(unique, docs.columns, "left_anti").count() == 0
+    assert masked.count() == apart.count() and masked.where("text rlike 'token = \"[0-9a-f]{40}'").count() == 0
+    packed = P.STAGES[-1][1](spark, masked, sample)
+    assert packed.select("doc_id").distinct().count() == masked.count()
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("e")).where("n > 2048 OR n <> e").count() == 0
+
+
+def test_run_is_all_stages(spark, sample):
+    import corpus_pipeline as P
+
+    assert set(P.run(spark, sample).columns) >= {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    assert P.ORACLE_SQL is None
+
+
+def test_registered():
+    entry = importlib.import_module("__spark_entry__")
+    names = entry.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert set(entry.oracle_sql()) <= set(names) and "attestry.llm" in sys.modules
