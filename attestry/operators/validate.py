@@ -136,8 +136,9 @@ def validation_table(df: DataFrame, contract) -> DataFrame:
     local = predicates(df, contract)
     out = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(cond).alias(f"x{k}") for k, (*_, cond) in enumerate(local)])
     total = reduce(Column.__add__, [F.col(f"x{k}") for k in range(len(local))], F.lit(missing).cast("long"))
-    out = out.select("rows", total.alias("violation_count"))
+    parts = [out.select("rows", total.alias("violation_count"))]
     for i, f in present(df, contract):
         if contract.columns[f.name].unique:
-            out = out.join(F.broadcast(repeated_count(df, i, f).select(F.col("n").alias("more"))), F.lit(True)).select("rows", (F.col("violation_count") + F.col("more")).alias("violation_count"))
-    return out.select((F.col("violation_count") == 0).alias("valid"), "violation_count", "rows")
+            parts.append(repeated_count(df, i, f).select(F.lit(0).cast("long").alias("rows"), F.col("n").alias("violation_count")))
+    both = reduce(DataFrame.unionByName, parts).agg(F.sum("rows").alias("rows"), F.sum("violation_count").alias("violation_count"))
+    return both.select((F.col("violation_count") == 0).alias("valid"), "violation_count", "rows")
