@@ -1,9 +1,10 @@
 """Nearest neighbours by a block matrix join (operator 5).
 
-Vectors are dealt into blocks of bounded size. Each block of queries meets each block of candidates once, in a task of
-its own: a matrix product of int8 codes gives all distances of the tile with bounds on the quantisation error, so
+Vectors are dealt into blocks of bounded bytes. Each block of queries meets each block of candidates once, in a task
+of its own: matrix products of int8 codes give all distances of the tile with bounds on the quantisation error, so
 that pairs which can't be among the nearest go; the others are recomputed in double precision and a heap of each query
-keeps the nearest. The tiles' lists are merged by query, nearest first, each tile bringing k rows at most.
+keeps the nearest. The tiles' lists are merged by query, nearest first, each tile bringing k rows at most. The larger
+the blocks, the less often a vector is sent; they are as large as a task's memory allows.
 
 The result is exact. Defined results: vectors that are null, all zero, or hold null or non-finite components take no
 part, nor do rows without an id; a query's own id is no candidate; ties go to the smaller id; vectors of different
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from . import common
 
 NEAREST, EVERY = 10, 100
-#: Vectors in a block of candidates and of queries, about; in memory a tile is their product times a few floats.
-CANDIDATES, QUERIES = 8_192, 1_024
-STEP = 2_048
+#: Bytes of a block of candidates and of queries, about; sides of a matrix product; least candidates of a block.
+CANDIDATES, QUERIES = 24 << 20, 6 << 20
+STEP, ROWS = 2_048, 512
+FEW = 1_024
 #: Relative error that double precision may make in the bounds.
 SLACK = 1e-9
 
@@ -46,50 +48,64 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, candidate, distance) of each query's k nearest candidates of this tile."""
-    heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]  # of (-distance, -id): the worst on top
-    worst = np.full(len(q_ids), np.inf)
-    qc, qs, qe = quantised(q)
     exact = np.float32 if q.shape[1] * 127 * 127 < 2**24 else np.float64  # integers that the product holds exactly
-    qf, qn = qc.astype(exact), (qc.astype(np.float64) ** 2).sum(axis=1) * qs**2
-    for i in range(0, len(c_ids), STEP):
-        ids, x = c_ids[i:i + STEP], c[i:i + STEP]
-        xc, xs, xe = quantised(x)
-        dots = (qf @ xc.astype(exact).T).astype(np.float64)
-        near = np.sqrt(np.maximum(0, qn[:, None] + ((xc.astype(np.float64) ** 2).sum(axis=1) * xs**2)[None] - 2 * dots * qs[:, None] * xs[None]))
-        slack = (qe[:, None] + xe[None]) + SLACK * (np.sqrt(qn)[:, None] + near + 1e-300)
-        at_least, at_most = near - slack, near + slack
-        own = q_ids[:, None] == ids[None]
-        at_most[own] = np.inf
-        limit = worst
-        if len(ids) >= k:
-            limit = np.minimum(worst, np.partition(at_most, k - 1, axis=1)[:, k - 1])
-        keep = ((at_least <= limit[:, None]) | ~np.isfinite(near)) & ~own
-        rows, cols = np.nonzero(keep)
-        if not len(rows):
-            continue
-        for a in range(0, len(rows), 65_536):
-            r, s = rows[a:a + 65_536], cols[a:a + 65_536]
-            d = np.sqrt(((q[r] - x[s]) ** 2).sum(axis=1))
-            order = np.lexsort((ids[s], d, r))
-            r, s, d = r[order], s[order], d[order]
-            first = np.searchsorted(r, r)  # k of each query and chunk at most go to its heap
-            pick = np.arange(len(r)) - first < k
-            for row, col, dist in zip(r[pick].tolist(), s[pick].tolist(), d[pick].tolist(), strict=True):
-                h, item = heaps[row], (-dist, -int(ids[col]))
-                if len(h) < k:
-                    heapq.heappush(h, item)
-                elif item > h[0]:
-                    heapq.heapreplace(h, item)
-                if len(h) == k:
-                    worst[row] = -h[0][0]
-    return [(int(i), -b, -a) for i, h in zip(q_ids, heaps, strict=True) for a, b in sorted(h, reverse=True)]
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEAREST, per_block: tuple[int, int] = (QUERIES, CANDIDATES)) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest vectors; both tables have vec_id and embedding."""
-    q = queries.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    c = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    nq, nc = max(1, math.ceil(queries.count() / per_block[0])), max(1, math.ceil(vectors.count() / per_block[1]))
+    qc, qs, qe = quantised(q)
+    cc, cs, ce = quantised(c)
+    qn, cn = ((x.astype(np.float64) ** 2).sum(axis=1) * s**2 for x, s in ((qc, qs), (cc, cs)))
+    out = []
+    for a in range(0, len(q), ROWS):
+        rows = slice(a, a + ROWS)
+        heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids[rows]]  # of (-distance, -id): the worst on top
+        worst = np.full(len(heaps), np.inf)
+        left = qc[rows].astype(exact)
+        for i in range(0, len(c), STEP):
+            cols = slice(i, i + STEP)
+            dots = (left @ cc[cols].astype(exact).T).astype(np.float64)
+            near = np.sqrt(np.maximum(0, qn[rows, None] + cn[None, cols] - 2 * dots * qs[rows, None] * cs[None, cols]))
+            slack = (qe[rows, None] + ce[None, cols]) + SLACK * (np.sqrt(qn[rows])[:, None] + near + 1e-300)
+            own = q_ids[rows, None] == c_ids[None, cols]
+            at_most = near + slack
+            at_most[own] = np.inf
+            limit = worst
+            if near.shape[1] >= k:
+                limit = np.minimum(worst, np.partition(at_most, k - 1, axis=1)[:, k - 1])
+            left_over = ((near - slack <= limit[:, None]) | ~np.isfinite(near)) & ~own
+            _recompute(*np.nonzero(left_over), q[rows], c[cols], c_ids[cols], heaps, worst, k)
+        out += [(int(i), -b, -a) for i, h in zip(q_ids[rows], heaps, strict=True) for a, b in sorted(h, reverse=True)]
+    return out
+
+
+def _recompute(rows: np.ndarray, cols: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, heaps: list, worst: np.ndarray, k: int) -> None:
+    """Exact distances of the surviving pairs; the nearest go to their query's heap."""
+    for a in range(0, len(rows), 65_536):
+        r, s = rows[a:a + 65_536], cols[a:a + 65_536]
+        d = np.sqrt(((q[r] - x[s]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[s], d, r))
+        r, s, d = r[order], s[order], d[order]
+        pick = np.arange(len(r)) - np.searchsorted(r, r) < k  # more than k of one query and chunk can't be wanted
+        for row, col, dist in zip(r[pick].tolist(), s[pick].tolist(), d[pick].tolist(), strict=True):
+            h, item = heaps[row], (-dist, -int(ids[col]))
+            if len(h) < k:
+                heapq.heappush(h, item)
+            elif item > h[0]:
+                heapq.heapreplace(h, item)
+            if len(h) == k:
+                worst[row] = -h[0][0]
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEAREST, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k nearest vectors; both tables have vec_id and embedding.
+
+    blocks: of queries and of candidates; by default as many as their bytes ask for, and enough to use all tasks.
+    """
+    clean = lambda df: df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    q, c = clean(queries), clean(vectors)
+    if blocks is None:
+        size = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("d")).first()
+        width = 8 * max(1, size["d"])
+        tasks = common.partitions(vectors.sparkSession)
+        blocks = math.ceil(queries.count() * width / QUERIES), max(math.ceil(size["n"] * width / CANDIDATES), min(tasks, size["n"] // FEW))
+    nq, nc = (max(1, n) for n in blocks)
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     q = q.withColumn("qb", block(nq, 1)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
     c = c.withColumn("cb", block(nc, 2)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))

@@ -20,13 +20,13 @@ def run(spark, rows, **options):
     return {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got}, len(got)
 
 
-@pytest.mark.parametrize("per_block", [(7, 50), (1024, 8192)])
-def test_brute_force(spark, per_block):
+@pytest.mark.parametrize("blocks", [(3, 19), None])
+def test_brute_force(spark, blocks):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(900)]
     rows += [(1000 + i, rows[5][1]) for i in range(40)]  # many equal vectors
-    rows += [(2000, None), (2100, []), (2200, [0.0] * 8), (2300, [float("nan")] + [1.0] * 7), (2400, [None] + [1.0] * 7), (2500, [float("inf")] * 8), (None, [1.0] * 8), (2600, [1e30] * 8), (2601, [1e-30] * 8), (2700, [1.0, 2.0]), (2701, [1.5, 2.0])]
-    got, n = run(spark, rows, per_block=per_block)
+    rows += [(2000, None), (2100, []), (2200, [0.0] * 8), (2300, [float("nan")] + [1.0] * 7), (2400, [None] + [1.0] * 7), (2500, [float("inf")] * 8), (None, [1.0] * 8), (2600, [2.0**100] * 8), (2601, [2.0**-100] * 8), (2700, [1.0, 2.0]), (2701, [1.5, 2.0])]
+    got, n = run(spark, rows, blocks=blocks)
     assert got == plain(rows) and n == len(got)
 
 
