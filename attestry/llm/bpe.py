@@ -4,7 +4,8 @@ Pieces of text come from the vocabulary file's own splitting rule. Each distinct
 remembered by its worker, in a memory of bounded size. Decoding concatenates the vocabulary's strings.
 
 Defined results: a null text counts as empty and gives no ids; texts are read whole; special tokens' strings in a
-text become those tokens, as the tokenizers library has it; other columns are ignored.
+text become those tokens, as the tokenizers library has it; other columns are ignored. What a letter is depends on the
+Unicode version of the regular-expression library: characters assigned in the last few years may be split otherwise.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Distinct pieces that a worker remembers, in two generations of this size.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 SPACE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -181,5 +182,5 @@ def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = False) ->
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     return encoded(common.table(spark, sf_dir, "documents"))

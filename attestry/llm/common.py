@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,26 +10,24 @@ from pyspark.sql import functions as F
 
 from ..cluster import new_path, remove_shared, shared_dir, ship, written
 
-__all__ = ["flagged", "key_bitmap", "maybe_in", "new_path", "partitions", "parts", "remove_shared", "shared_dir", "ship", "small_batches", "table", "tokenizer_path", "written"]
+__all__ = ["flagged", "key_bitmap", "maybe_in", "new_path", "partitions", "parts", "prepare", "remove_shared", "shared_dir", "ship", "table", "tokenizer_path", "written"]
 
 #: Positions of a key bitmap: 2 MB in all, whatever the input's size.
 BITMAP_BITS = 24
+#: Rows that go to Python at a time.
+BATCH = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000):
-    """For jobs that start within: so many rows at a time go to Python, where rows are long."""
+def prepare(spark: SparkSession, rows: int = BATCH) -> None:
+    """Before a job with Python in it: ship the code, and let fewer rows at a time go to Python, as texts are long."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -265,5 +265,5 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     return extracted(common.table(spark, sf_dir, "pages"))

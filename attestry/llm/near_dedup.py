@@ -255,11 +255,6 @@ def joined_by(sa, sb, mine: list, theirs: list, ua, ub, ra, rb, least: float) ->
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """uid, doc_id, th, class (a number), class_id (the least doc_id of the class), class_size, keep_uid."""
-    with common.small_batches(docs.sparkSession):
-        return _classes(docs, least)
-
-
-def _classes(docs: DataFrame, least: float) -> DataFrame:
     rows = signed(docs)
     groups = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("uid").alias("rep"))
     groups = common.written(groups, "groups")
@@ -286,15 +281,17 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     more = common.written(reduce(DataFrame.unionByName, more), "more")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    at = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("class"))
+    # written, so that Spark may split a hot key or class in the joins with them
+    at = common.written(groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("class")), "at")
     placed = rows.select("uid", "doc_id", "th", "key").join(at, "key", "left").select("uid", "doc_id", "th", F.coalesce("class", "uid").alias("class"))
     placed = common.written(placed, "placed")
     sizes = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("k"), F.count(F.lit(1)).alias("class_size"))
+    sizes = common.written(sizes, "sizes")
     return placed.join(sizes, "class").select("uid", "doc_id", "th", "class", F.col("k.doc_id").alias("class_id"), F.col("class_size"), F.col("k.uid").alias("keep_uid"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     return classes(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", (F.col("uid") == F.col("keep_uid")).alias("kept"))
 
 
@@ -303,7 +300,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Only rows that may have to go are read into a shuffle.
     """
-    common.ship(spark)
+    common.prepare(spark)
     found = common.written(classes(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), "th", (F.col("uid") == F.col("keep_uid")).alias("kept")), "kept")
     gone = found.where("NOT kept").select("_key", "th").distinct()
     stays = found.where("kept").join(gone, ["_key", "th"]).select("_key", "th")

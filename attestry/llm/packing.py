@@ -212,11 +212,11 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     return packed(common.table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: where each piece of each document goes."""
-    common.ship(spark)
+    common.prepare(spark)
     return packed(docs)

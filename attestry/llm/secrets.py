@@ -2,8 +2,8 @@
 
 Fixed patterns give the base spans. Besides them, long runs of key characters are candidates: their encoding is
 inferred from the characters used; a chi-squared statistic of uniformity over that alphabet is held against what
-ordinary language of that length would show, and tests of runs and of serial correlation must not contradict
-randomness. The resulting p-values of all candidates of the corpus, weighted by length, go through the
+ordinary language of that length would show, and the shares of capitals, small letters and digits, the runs and the
+serial correlation must not contradict randomness. The resulting p-values of all candidates of the corpus, weighted by length, go through the
 Benjamini-Hochberg procedure: only a histogram of them, of fixed size, is gathered.
 
 Defined results: a null text counts as empty and has no spans; texts are scanned whole; offsets are code points;
@@ -81,6 +81,8 @@ def battery(token: str) -> float:
     v = [alphabet.find(c) for c in core]
     if min(v) < 0:
         return 1.0
+    if shares(core, name) < CONTRADICTS:
+        return 1.0
     counts = np.bincount(v, minlength=k)
     chi = float((counts * counts).sum()) * k / n - n
     excess = n * (k * (LANGUAGE_HEX if name == "hex" else LANGUAGE) - 1)
@@ -103,6 +105,22 @@ def battery(token: str) -> float:
     return max(p, 1e-39)
 
 
+def shares(core: str, name: str) -> float:
+    """p-value of the kinds of characters being there in proportion to their number in the alphabet."""
+    digits = sum(c.isdigit() for c in core)
+    if name == "base64":
+        upper = sum(c.isupper() for c in core)
+        seen, size = (upper, sum(c.islower() for c in core), digits), (26, 26, 10)
+    else:
+        few = {"hex": 10, "base32": 6, "alnum": 10}[name]
+        seen, size = (len(core) - digits, digits), (len(_ALPHABETS[name]) - few, few)
+    n = sum(seen)
+    if not n:
+        return 0.0
+    x = sum((s - n * k / sum(size)) ** 2 / (n * k / sum(size)) for s, k in zip(seen, size, strict=True))
+    return math.exp(-x / 2) if len(seen) == 3 else math.erfc(math.sqrt(x / 2))
+
+
 def weight(length: int) -> float:
     """Longer tokens can show more, and get a larger share of the false discoveries."""
     return min(3.0, length / 32)
@@ -183,13 +201,13 @@ def redacted(text: str, limit: float, mark: str = "[SECRET]") -> str:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     return scanned(common.table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, its secrets replaced by a mark; n_chars follows the new text."""
-    common.ship(spark)
+    common.prepare(spark)
     limit = threshold(docs)
 
     @F.pandas_udf("string")

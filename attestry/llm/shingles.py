@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
@@ -64,7 +65,7 @@ class Words:
         return sums(self.hashes, at, at + n, _Q)
 
 
-def chunks(texts: list[bytes], most: int = 1 << 20):
+def chunks(texts: list[bytes], most: int = 1 << 19):
     """(begin, end) of runs of texts of about `most` bytes."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
@@ -81,3 +82,4 @@ def slices(batches, rows: int = 1_000):
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        pa.default_memory_pool().release_unused()

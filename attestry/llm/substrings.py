@@ -256,5 +256,5 @@ def cleaned(docs: DataFrame, window: int = WINDOW, texts: bool = False, **option
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     return cleaned(common.table(spark, sf_dir, "documents"))

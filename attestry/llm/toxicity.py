@@ -242,7 +242,7 @@ def scorer(model: Model):
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.ship(spark)
+    common.prepare(spark)
     docs = common.table(spark, sf_dir, "documents")
     model = learn(docs, common.table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(model)("text").alias("score"))
@@ -251,7 +251,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that score 0.5 or more go."""
-    common.ship(spark)
+    common.prepare(spark)
     model = learn(docs, common.table(spark, sf_dir, "labels"))
     keep = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), scorer(model)("text").alias("s"))
     return keep.where("s < 0.5").select("row.*")
