@@ -45,7 +45,7 @@ def test_disguises(learned, text):
 
 
 def test_exceptions_and_length():
-    model = X.Model({"drasp": 3.0}, ["harmless drasp"])
+    model = X.Model({"drasp": 3.0}, [X.fold("harmless drasp").strip()])
     a = model.automaton()
     assert X.measure(a, "a harmless drasp b") == (0.0, 4)
     assert X.measure(a, "a harmless drasp drasp b") == (3.0, 5)
