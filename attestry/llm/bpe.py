@@ -16,6 +16,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import pandas as pd
 import regex
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Distinct pieces that a worker remembers, in two generations of this size.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 SPACE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -114,6 +115,10 @@ class Memory(dict):
             self[piece] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class WordCodec:
     """Lower-cased words with word ends, white space dropped."""
@@ -170,13 +175,16 @@ def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = False) ->
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep_ids
 
     @F.pandas_udf(fields)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        c, sha, rows = codec(path), hashlib.sha256, []
-        for t in texts:
-            ids, back = c.encode(t or "")
-            row = (len(ids) // 4, sha(ids).hexdigest(), sha(back.encode()).hexdigest())
-            rows.append((*row, ids, back) if keep_ids else row)
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c, sha = codec(path), hashlib.sha256
+        for texts in parts:
+            rows = []
+            for t in texts:
+                ids, back = c.encode(t or "")
+                row = (len(ids) // 4, sha(ids).hexdigest(), sha(back.encode()).hexdigest())
+                rows.append((*row, ids, back) if keep_ids else row)
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
+        c.memory.forget()  # workers live on, and have other work
 
     return docs.select("doc_id", run.asNondeterministic()(F.col("text")).alias("_r")).select("doc_id", "_r.*")
 

@@ -17,6 +17,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,13 +83,16 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     """doc_id, n (ids with the closing 0), crcs (of each piece's ids)."""
 
     @F.pandas_udf("n long, crcs array<long>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        c, rows = codec(path), []
-        for t in texts:
-            ids = c.encode(t or "") + b"\0\0\0\0"
-            cut = (len(ids) // 4 - 1) % capacity + 1
-            rows.append((len(ids) // 4, [zlib.crc32(ids[:cut * 4]), *(zlib.crc32(ids[k:k + capacity * 4]) for k in range(cut * 4, len(ids), capacity * 4))]))
-        return pd.DataFrame(rows, columns=["n", "crcs"])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(path)
+        for texts in parts:
+            rows = []
+            for t in texts:
+                ids = c.encode(t or "") + b"\0\0\0\0"
+                cut = (len(ids) // 4 - 1) % capacity + 1
+                rows.append((len(ids) // 4, [zlib.crc32(ids[:cut * 4]), *(zlib.crc32(ids[k:k + capacity * 4]) for k in range(cut * 4, len(ids), capacity * 4))]))
+            yield pd.DataFrame(rows, columns=["n", "crcs"])
+        c.memory.forget()  # workers live on, and have other work
 
     return docs.select("doc_id", run.asNondeterministic()(F.col("text")).alias("_r")).select("doc_id", "_r.n", "_r.crcs")
 
