@@ -1,9 +1,10 @@
 """URL filter by rules, and by a ratio of character language models where no rule fits (operator 2).
 
 Two smoothed Markov models of variable order are counted over all URLs that the rules accept and all that they reject.
-Counts live in hashed tables of fixed size, so what is sent to the tasks is bounded whatever the input. A URL's
-log-likelihood difference, divided by its length, is held against a threshold calibrated on URLs left out of the
-counts (crc32(url) mod 5 is 0).
+Counts are exact: they live in distributed tables that grow with the number of different n-grams. What each n-gram
+adds to a log-likelihood difference is worked out once, by joins, and joined to the URLs' n-grams; only the steps of
+the commonest n-grams, HEAD at most, are sent to all tasks. A URL's difference, divided by its length, is held against
+a threshold calibrated on URLs left out of the counts (crc32(url) mod 5 is 0).
 
 Defined results: a null url, or one without ``://``, has an empty host and path; without accepted or without rejected
 URLs the method allows; repeated rows are judged each for itself; other columns are ignored.
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -23,7 +24,11 @@ from .exact_dedup import LOWER, UPPER
 
 #: Fixed rules of the query: (verdict, host/path).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-ORDER, BITS, SMOOTH = 5, 14, 2.0
+ORDER, SMOOTH = 5, 2.0
+#: Of the tables on the driver: two characters. Of the fraction of a step.
+BITS, FINE = 16, 36
+#: What an n-gram is counted for, and how many n-grams' steps are sent to all tasks at most.
+USES, HEAD = ("rejected", "accepted", "asked"), 1 << 16
 BINS, SPAN = 4_000, 8.0
 
 
@@ -46,24 +51,23 @@ def ruled(rules: list[tuple[str, str]], what) -> Column:
 
 
 def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each order and character the places of its n-gram and of its context in the tables; and whose it is."""
+    """For each order and character its n-gram and its context, as numbers made of their bytes; and whose it is.
+
+    Neither padding nor end is a byte of UTF-8, so different n-grams of an order are different numbers.
+    """
     joined = bytearray()
     lengths = []
     for u in urls:
         raw = u.encode("utf-8", "surrogatepass")
-        joined += b"\2" * ORDER + raw + b"\3"
+        joined += b"\xff" * ORDER + raw + b"\xfe"
         lengths.append(len(raw) + 1)
-    b = np.frombuffer(bytes(joined), np.uint8).astype(np.uint64) + np.uint64(1)
+    b = np.frombuffer(bytes(joined), np.uint8).astype(np.int64)
     owner = np.repeat(np.arange(len(urls)), np.array(lengths, dtype=np.int64) + ORDER)
     at = np.flatnonzero(_scored(lengths))
-    gram, context = np.empty((ORDER + 1, len(at)), np.int64), np.empty((ORDER + 1, len(at)), np.int64)
-    full, ctx = b[at], np.zeros(len(at), np.uint64)
+    gram = np.empty((ORDER + 1, len(at)), np.int64)
     for k in range(ORDER + 1):
-        if k:
-            before = b[at - k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
-            full, ctx = full + before, ctx + before
-        gram[k], context[k] = _slot(full), _slot(ctx * np.uint64(3) + np.uint64(7))
-    return gram, context, owner[at]
+        gram[k] = b[at - k] << (8 * k) | (gram[k - 1] if k else 0)
+    return gram, gram >> 8, owner[at]
 
 
 def _scored(lengths: list[int]) -> np.ndarray:
@@ -75,56 +79,114 @@ def _scored(lengths: list[int]) -> np.ndarray:
     return mask
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(29))) >> np.uint64(64 - BITS)).astype(np.int64)
+def probabilities(table: np.ndarray, gram: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Of characters, from one side's counts [n-gram or context, order, number]; numbers beyond a table count 0."""
 
+    def at(counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return np.where(keys < len(counts), counts[np.minimum(keys, len(counts) - 1)], 0)
 
-def count(urls: DataFrame) -> np.ndarray:
-    """Table [rejected or accepted, n-gram or context, order, slot] of counts over all rows of (url, accepted)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = np.zeros((2, 2, ORDER + 1, 1 << BITS), np.int64)
-        for batch in batches:
-            for accepted, part in batch.groupby("accepted"):
-                for i in range(0, len(part), 2_000):
-                    gram, context, _ = grams(list(part["url"].iloc[i:i + 2_000]))
-                    for k in range(ORDER + 1):
-                        t[int(accepted), 0, k] += np.bincount(gram[k], minlength=1 << BITS)
-                        t[int(accepted), 1, k] += np.bincount(context[k], minlength=1 << BITS)
-        slot = np.flatnonzero(t)
-        yield pd.DataFrame({"slot": slot, "n": t.ravel()[slot]})
-
-    rows = urls.mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # bounded by the tables' size
-    out = np.zeros((2, 2, ORDER + 1, 1 << BITS), np.int64)
-    out.ravel()[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return out
+    p = np.full(gram.shape[1], 1 / 256)
+    for k in range(len(gram)):
+        p = (at(table[0, k], gram[k]) + SMOOTH * p) / (at(table[1, k], context[k]) + SMOOTH)
+    return p
 
 
 def differences(tables: np.ndarray, urls: list[str]) -> np.ndarray:
-    """Log-likelihood accepted minus rejected, for each character of the URL on average."""
+    """Log-likelihood accepted minus rejected, for each character of the URL on average; of tables in memory."""
     if not urls:
         return np.zeros(0)
     gram, context, owner = grams(urls)
-    logs = []
-    for t in tables:
-        p = np.full(gram.shape[1], 1 / 256)
-        for k in range(ORDER + 1):
-            p = (t[0, k][gram[k]] + SMOOTH * p) / (t[1, k][context[k]] + SMOOTH)
-        logs.append(np.log(p))
-    each = logs[1] - logs[0]
+    each = np.log(probabilities(tables[1], gram, context)) - np.log(probabilities(tables[0], gram, context))
     return np.bincount(owner, each, len(urls)) / np.bincount(owner, minlength=len(urls))
 
 
-def calibrate(tables: np.ndarray, urls: DataFrame) -> float:
-    """The threshold with the least mean error rate on rows of (url, accepted) left out of the counts."""
+def count(urls: DataFrame) -> DataFrame:
+    """(gram, rejected, accepted, asked): how often each n-gram of the highest order is in all rows of (url, use), exactly.
 
-    @F.pandas_udf("int")
-    def bins(u: pd.Series) -> pd.Series:
-        d = differences(tables, list(u))
-        return pd.Series(np.clip((d + SPAN) / (2 * SPAN) * BINS, 0, BINS - 1).astype(np.int32))
+    Counts of lower orders and of contexts are sums of these.
+    """
 
-    rows = urls.select("accepted", bins.asNondeterministic()("url").alias("bin")).groupBy("accepted", "bin").count().collect()  # 2 * BINS at most
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            gram, _, owner = grams(list(batch["url"]))
+            key, n = np.unique(gram[ORDER] * len(USES) + batch["use"].to_numpy(np.int64)[owner], return_counts=True)
+            gram, use = np.divmod(key, len(USES))
+            yield pd.DataFrame({"gram": gram} | {name: np.where(use == i, n, 0) for i, name in enumerate(USES)})
+
+    rows = urls.mapInPandas(run, "gram long, " + ", ".join(f"{x} long" for x in USES))
+    return common.written(_summed(rows, F.col("gram")), "url_grams")
+
+
+def _summed(rows: DataFrame, key: Column) -> DataFrame:
+    return rows.groupBy(key.alias("gram")).agg(*[F.sum(x).alias(x) for x in USES])
+
+
+def _shorter(k: int) -> Column:
+    """The n-gram of order k that a longer one ends with."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+
+
+def steps(counts: DataFrame) -> DataFrame:
+    """(gram, asked, step): what each n-gram asked for adds to a URL's difference, in 2**-FINE.
+
+    Order by order, each from the probabilities of the one before. At most 256 n-grams of an order share a context or
+    an ending, so no key of these windows and joins is hot. Two characters at most are 65,536 n-grams: those are summed
+    on the driver.
+    """
+    rows = _summed(counts, _shorter(1)).collect()  # 65,536 at most
+    gram = np.array([r["gram"] for r in rows], dtype=np.int64)
+    low = []
+    for use in USES[:2]:
+        n = np.array([r[use] for r in rows], dtype=np.int64)
+        t = np.zeros((2, 2, 1 << BITS), np.int64)
+        np.add.at(t[0, 1], gram, n)
+        np.add.at(t[1, 1], gram >> 8, n)
+        np.add.at(t[0, 0], gram & 255, n)
+        t[1, 0, 0] = n.sum()
+        low.append(probabilities(t, np.stack([gram & 255, gram]), np.stack([gram * 0, gram >> 8])).tolist())
+    known = [(r["gram"], p, q) for r, p, q in zip(rows, *low, strict=True) if r["asked"]]
+    out = F.broadcast(counts.sparkSession.createDataFrame(known, "shorter long, p_rejected double, p_accepted double"))
+    for k in range(2, ORDER + 1):
+        level = _summed(counts, _shorter(k)) if k < ORDER else counts
+        same = Window.partitionBy(F.shiftright("gram", 8))
+        level = level.select("*", *[F.sum(x).over(same).alias(f"after_{x}") for x in USES[:2]]).where("asked > 0")
+        level = level.withColumn("shorter", _shorter(k - 1)).join(out, "shorter")
+        p = [((F.col(x) + SMOOTH * F.col(f"p_{x}")) / (F.col(f"after_{x}") + SMOOTH)).alias(f"p_{x}") for x in USES[:2]]
+        out = level.select(F.col("gram").alias("shorter"), "asked", *p)
+        if k < ORDER:
+            out = out.drop("asked")
+    step = F.round((F.log("p_accepted") - F.log("p_rejected")) * (1 << FINE)).cast("long")
+    return common.written(out.select(F.col("shorter").alias("gram"), "asked", step.alias("step")), "url_steps")
+
+
+def scored(rows: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """rows of (id, url, ...) with their score: the mean step of their characters. Steps are whole numbers, so their sum has no order.
+
+    Steps of n-grams asked for `least` times or more go to all tasks, the others are joined.
+    """
+    head = known.where(F.col("asked") >= least).select("gram", "step").collect()  # HEAD at most, see judged
+    head = np.array(sorted((r["gram"], r["step"]) for r in head), dtype=np.int64).reshape(-1, 2)
+
+    @F.pandas_udf("common long, n long, rare array<long>")
+    def run(u: pd.Series) -> pd.DataFrame:
+        gram, _, owner = grams(list(u))
+        at = np.minimum(np.searchsorted(head[:, 0], gram[ORDER]), max(0, len(head) - 1))
+        found = head[at, 0] == gram[ORDER] if len(head) else np.zeros(len(owner), bool)
+        total = np.zeros(len(u), np.int64)
+        np.add.at(total, owner[found], head[at[found], 1])
+        ends = np.cumsum(np.bincount(owner[~found], minlength=len(u)))[:-1]
+        return pd.DataFrame({"common": total, "n": np.bincount(owner, minlength=len(u)), "rare": np.split(gram[ORDER][~found], ends)})
+
+    got = common.written(rows.withColumn("r", run.asNondeterministic()("url")).select(*rows.columns, "r.*"), "url_parts")
+    rare = got.select("id", F.explode("rare").alias("gram")).join(known.select("gram", "step"), "gram").groupBy("id").agg(F.sum("step").alias("more"))
+    total = F.col("common") + F.coalesce("more", F.lit(0))
+    return got.join(rare, "id", "left").withColumn("score", total / F.col("n") / float(1 << FINE)).select(*rows.columns, "score")
+
+
+def calibrate(rows: DataFrame) -> float:
+    """The threshold with the least mean error rate on rows of (accepted, score) left out of the counts."""
+    place = F.greatest(F.lit(0.0), F.least(F.lit(BINS - 1.0), (F.col("score") + SPAN) / (2 * SPAN) * BINS)).cast("int")
+    rows = rows.groupBy("accepted", place.alias("bin")).count().collect()  # 2 * BINS at most
     h = np.zeros((2, BINS))
     for r in rows:
         h[int(r["accepted"]), r["bin"]] = r["count"]
@@ -136,23 +198,30 @@ def calibrate(tables: np.ndarray, urls: DataFrame) -> float:
     return float(best[len(best) // 2] / BINS * 2 * SPAN - SPAN)
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, head: int = HEAD) -> DataFrame:
     """page_id, host, path, rule, verdict, score (of the method, where no rule fits)."""
-    rows = pages.select("page_id", F.col("url").alias("url"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    rows = rows.withColumn("rule", ruled(rules, lambda v, r: r)).withColumn("by_rule", ruled(rules, lambda v, r: v))
-    seen = rows.where("by_rule IS NOT NULL").select(F.concat("host", "path").alias("url"), (F.col("by_rule") == "allow").alias("accepted"))
-    left_out = F.crc32(F.col("url").cast("binary")) % 5 == 0
-    tables = count(seen.where(~left_out))
-    usable = bool(tables[0].any() and tables[1].any())
-    threshold = calibrate(tables, seen.where(left_out)) if usable else 0.0
-
-    @F.pandas_udf("double")
-    def method(u: pd.Series) -> pd.Series:
-        return pd.Series(differences(tables, list(u)) if usable else np.zeros(len(u)))
-
-    base = rows.where("by_rule IS NOT NULL").select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"), F.lit(None).cast("double").alias("score"))
-    rest = rows.where("by_rule IS NULL").withColumn("score", method.asNondeterministic()(F.concat("host", "path")))
-    rest = rest.select("page_id", "host", "path", "rule", F.when(F.col("score") >= threshold, "allow").otherwise("block").alias("verdict"), "score")
+    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    rows = rows.withColumn("rule", ruled(rules, lambda v, r: r)).withColumn("accepted", ruled(rules, lambda v, r: v) == "allow")
+    left_out = F.crc32(F.concat("host", "path").cast("binary")) % 5 == 0
+    use = F.when(F.col("accepted").isNull() | left_out, USES.index("asked")).otherwise(F.col("accepted").cast("int"))
+    rows = common.written(rows.withColumn("use", use).withColumn("id", F.monotonically_increasing_id()), "url_rows")
+    url = F.concat("host", "path").alias("url")
+
+    counts = count(rows.select(url, "use"))
+    seen = counts.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in USES]).first()
+    asked = rows.where(F.col("use") == USES.index("asked"))
+    if seen["rejected"] and seen["accepted"]:
+        # no more than `head` n-grams can be asked for so often
+        asked = common.written(scored(asked.withColumn("url", F.concat("host", "path")), steps(counts), seen["asked"] / head), "url_scores")
+        threshold = calibrate(asked.where("accepted IS NOT NULL"))
+    else:
+        asked, threshold = asked.withColumn("score", F.lit(0.0)), 0.0
+
+    def verdict(accepted: Column) -> Column:
+        return F.when(accepted, "allow").otherwise("block").alias("verdict")
+
+    base = rows.where("accepted IS NOT NULL").select("page_id", "host", "path", "rule", verdict(F.col("accepted")), F.lit(None).cast("double").alias("score"))
+    rest = asked.where("accepted IS NULL").select("page_id", "host", "path", "rule", verdict(F.col("score") >= threshold), "score")
     return base.unionByName(rest)
 
 

@@ -1,4 +1,10 @@
+import math
+import random
+import zlib
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from attestry.llm import urls
 
@@ -62,3 +68,43 @@ def test_nothing_to_learn_from(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).collect() == []
     got = urls.judged(spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")).collect()
     assert got[0]["verdict"] == "allow" and got[0]["rule"] is None
+
+
+def exact(train, asked):
+    """Scores by dictionaries of every n-gram and context."""
+    counts = {True: Counter(), False: Counter()}
+
+    def steps(url):
+        raw = [-1] * urls.ORDER + list(url.encode()) + [-2]
+        for i in range(urls.ORDER, len(raw)):
+            yield [tuple(raw[i - k:i + 1]) for k in range(urls.ORDER + 1)]
+
+    for url, accepted in train:
+        for step in steps(url):
+            counts[accepted].update([("gram", g) for g in step] + [("context", len(g), g[:-1]) for g in step])
+    out = {}
+    for url in asked:
+        total, n = 0.0, 0
+        for step in steps(url):
+            p = {True: 1 / 256, False: 1 / 256}
+            for g in step:
+                for side, c in counts.items():
+                    p[side] = (c["gram", g] + urls.SMOOTH * p[side]) / (c["context", len(g), g[:-1]] + urls.SMOOTH)
+            assert 0 < p[True] <= 1 and 0 < p[False] <= 1
+            total, n = total + math.log(p[True]) - math.log(p[False]), n + 1
+        out[url] = total / n
+    return out
+
+
+@pytest.mark.parametrize("head", [1, 200, urls.HEAD])
+def test_counts_are_exact_however_many_n_grams(spark, head):
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé0123456789-%", k=rng.randint(4, 30)))
+    parts = [(f"{name()}.com", f"/{name()}") for _ in range(700)] + [(f"{name()}.net", f"/es/{name()}") for _ in range(700)] + [(f"{name()}.org", f"/{name()}") for _ in range(150)]
+    parts += parts[-3:]  # repeated rows are judged each for itself
+    got = urls.judged(spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(parts)], "page_id long, url string"), head=head).collect()
+    assert len(got) == len(parts)
+    train = [(r["host"] + r["path"], r["verdict"] == "allow") for r in got if r["rule"] and zlib.crc32((r["host"] + r["path"]).encode()) % 5]
+    asked = [r for r in got if r["rule"] is None]
+    want = exact(train, {r["host"] + r["path"] for r in asked})
+    assert len(asked) == 153 and all(abs(r["score"] - want[r["host"] + r["path"]]) < 1e-9 for r in asked)
