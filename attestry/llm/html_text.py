@@ -3,8 +3,9 @@
 A forgiving parser builds the tree of a page; menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are cut out of it by element, role, name and visibility. For every node that remains the
 composite density weighs characters for each tag by how little of them is link text; a node's density sum adds those
-of its children. The node with the largest sum is sought within the article or main element, if there is one; the
-least density on its path to the body is the threshold, and the topmost nodes that reach it hold the main text.
+of its children. The node with the largest sum is sought in the whole body; the least density on its path to the body
+is the threshold, and the topmost nodes that reach it hold the main text. Article and main elements count like others;
+they only keep what is named like boilerplate from being cut out with the article in it.
 
 Defined results: null html counts as empty; a page without text gives an empty string and 0; broken or cut off markup
 is read as far as it goes; repeated rows are read each for itself; other columns are ignored.
@@ -124,7 +125,7 @@ def _attrs(text: str) -> dict[str, str]:
 
 
 def dropped(node: Node, in_article: bool) -> bool:
-    """Whether a node is no part of an article whatever its density."""
+    """Whether a node is no part of an article whatever its name and density."""
     tag = node.tag
     if tag in ("html", "body"):
         return False
@@ -135,19 +136,63 @@ def dropped(node: Node, in_article: bool) -> bool:
     a = _attrs(node.attrs)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    if a.get("role", "").lower() in ROLES:
-        return True
+    return a.get("role", "").lower() in ROLES
+
+
+def named(node: Node) -> frozenset[str]:
+    """Words of a node's class and id that boilerplate is called by."""
+    if node.tag in ("html", "body") or not node.attrs.strip():
+        return frozenset()
+    a = _attrs(node.attrs)
     words = {w.lower() for w in WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-    return bool(words & (COMMENTS if tag in ("article", "main") else NAMES))
+    return frozenset(words & (COMMENTS if node.tag in ("article", "main") else NAMES))
+
+
+def held(root: Node) -> set[Node]:
+    """Nodes that are not cut out for their name: they hold the article, or most of the page's text outside links.
+
+    The article is the article or main element with the most text, or one with more than half as much, if that is more
+    than the page has without all that is named like boilerplate. Reader comments are no article; they are only held for
+    their share of the text where there is no other article or main element.
+    """
+    order, names, articles, lost = [], {}, [], []
+    stack = [(root, False, False, False)]  # in an article, in something dropped or among comments, in something lost
+    while stack:
+        node, inside, out, gone = stack.pop()
+        hard, names[node] = dropped(node, inside), named(node)
+        if (hard or names[node]) and not gone:
+            lost.append(node)
+        out, gone = out or hard or bool(names[node] & COMMENTS), gone or hard or bool(names[node])
+        if node.tag in ("article", "main"):
+            inside = True
+            if not out:
+                articles.append(node)
+        order.append(node)
+        stack += [(x, inside, out, gone) for x in node.items if not isinstance(x, str)]
+    if not any(names.values()):
+        return set()
+    plain: dict[Node, int] = {}
+    for node in reversed(order):
+        plain[node] = 0 if node.tag == "a" else sum(len("".join(x.split())) if isinstance(x, str) else plain[x] for x in node.items)
+    articles = [x for x in articles if plain[x]]
+    stays, most = plain[root] - sum(plain[x] for x in lost), max((plain[x] for x in articles), default=0)
+    out = {x for x in order if names[x] and 2 * plain[x] > plain[root] and not (articles and names[x] & COMMENTS)}
+    for x in articles:
+        if 2 * plain[x] > most and plain[x] > stays:
+            while x is not None and x not in out:
+                out.add(x)
+                x = x.parent
+    return out
 
 
 def prune(root: Node) -> None:
     """Cut out what is dropped, and count characters, tags and link text of the rest, bottom up."""
+    kept = held(root)
     order, stack = [], [(root, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ("article", "main")
-        node.items = [x for x in node.items if isinstance(x, str) or not dropped(x, inside)]
+        node.items = [x for x in node.items if isinstance(x, str) or not dropped(x, inside) and (x in kept or not named(x))]
         order.append(node)
         stack += [(x, inside) for x in node.items if not isinstance(x, str)]
     for node in reversed(order):
@@ -184,21 +229,8 @@ def _walk(node: Node):
 def main_nodes(root: Node) -> list[Node]:
     """The nodes that hold the main text, in page order."""
     body = next((x for x in _walk(root) if x.tag == "body"), root)
-    homes = [x for x in _walk(body) if (x.tag in ("article", "main") or "articleBody" in x.attrs or re.search(r"role\s*=\s*[\"']?main", x.attrs)) and x.chars]
     # a text node that stands alone makes its parent dense, so a node's own density counts where it has no children
     value = lambda x: max(x.total, x.density)
-    if homes:
-        best = max((n for h in homes for n in _walk(h)), key=lambda x: x.total if x.tags else x.density)
-        while best is not None:
-            if best in homes:
-                inner = best
-                up = best.parent
-                while up is not None:  # an article in a main element stands for itself, a section in an article doesn't
-                    if up in homes and up.tag == "article":
-                        inner = up
-                    up = up.parent
-                return [inner]
-            best = best.parent
     if not body.chars:
         return []
     best = max(_walk(body), key=value)

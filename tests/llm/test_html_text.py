@@ -48,3 +48,25 @@ def test_articles_of_the_sample_are_whole(spark, sample):
     for r in H.op3(spark, sample).collect():
         body = r["text"].partition("\n")[2]
         assert {" ".join(r["text"].split()), " ".join(body.split())} & docs, r["page_id"]
+
+
+def paragraphs(name, n=8):
+    return "".join(f"<p>{name} {i} is a real paragraph, which goes on for some while without any link.</p>" for i in range(n))
+
+
+TEASER = "<article><h2>Card</h2><p>Teaser.</p></article>"
+
+
+@pytest.mark.parametrize("page, inside, outside", [
+    (f"{TEASER}<div id='content'>{paragraphs('Body')}</div>", ["Body 0", "Body 7"], ["Teaser"]),
+    (f"<main><article>{paragraphs('First')}</article><article>{paragraphs('Second', 6)}</article></main>", ["First 0", "First 7", "Second 0", "Second 5"], []),
+    (f"<div class='with-sidebar'><article>{paragraphs('Body')}</article><div class='sidebar'><p>Rail</p></div></div>", ["Body 0", "Body 7"], ["Rail"]),
+    (f"<main><div class='layout no-ads'><article>{paragraphs('Body')}</article></div></main>", ["Body 0", "Body 7"], []),
+    (f"<div class='page-header-fixed'>{paragraphs('Body')}</div>{TEASER}", ["Body 0", "Body 7"], []),
+    (f"<article class='comments-open'>{paragraphs('Body')}</article>", ["Body 0", "Body 7"], []),
+    (f"<article>{paragraphs('Body', 3)}</article><div class='comments'>{paragraphs('Reader', 20)}</div>", ["Body 2"], ["Reader"]),
+    (f"<main>{paragraphs('Body')}<div class='related'>{TEASER}</div></main>", ["Body 7"], ["Teaser"]),
+])
+def test_density_decides_over_the_whole_body(page, inside, outside):
+    text = H.main_text(PAGE % page)
+    assert all(x in text for x in inside) and not any(x in text for x in [*outside, "cookies", "Home"])
