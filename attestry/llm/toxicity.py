@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -33,6 +34,8 @@ SUPPORT, LEAST, EVIDENCE = 4, 2.0, 24.0
 #: Letters of an entry.
 SHORT, LONG = 3, 12
 LEXICON, EXCEPTIONS = 2_000, 2_000
+#: Of the bitmap of words that are sought in clean rows.
+PLACES = 24
 #: Used where there are no labels.
 SEED = {w: 4.0 for w in ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting")}
 SEED_CURVE = (-3.0, 2.0, 1.0)
@@ -147,7 +150,7 @@ def _folded_seed() -> dict[str, float]:
 
 
 def _lexicon(rows: DataFrame, bad: int, good: int) -> dict[str, float]:
-    def begun(wanted: set[str] | None):
+    def begun(wanted: np.ndarray | None):
         @F.pandas_udf("array<string>")
         def run(texts: pd.Series) -> pd.Series:
             out = []
@@ -161,30 +164,49 @@ def _lexicon(rows: DataFrame, bad: int, good: int) -> dict[str, float]:
                 for w, p in got.items():
                     for n in range(SHORT, min(LONG, len(w)) + 1):
                         seen.setdefault(w[:n], p)
-                out.append([f"{w} {p}" for w, p in seen.items() if wanted is None or w in wanted])
+                out.append([f"{w} {p}" for w, p in seen.items() if wanted is None or wanted[(at := zlib.crc32(w.encode("utf-8", "surrogatepass")) & (1 << PLACES) - 1) >> 3] >> (at & 7) & 1])
             return pd.Series(out)
 
         return run
 
-    def support(part: DataFrame, wanted: set[str] | None) -> DataFrame:
+    def support(part: DataFrame, wanted: np.ndarray | None, name: str) -> DataFrame:
         pairs = part.select(F.explode(begun(wanted)("text")).alias("pair")).distinct()
-        return pairs.groupBy(F.substring_index("pair", " ", 1).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+        return pairs.groupBy(F.substring_index("pair", " ", 1).alias("word")).agg(F.count(F.lit(1)).alias(name))
 
-    top = {r["word"]: r["n"] for r in support(rows.where("toxic = 1"), None).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "word").limit(20 * LEXICON).collect()}
-    clean = {r["word"]: r["n"] for r in support(rows.where("toxic = 0"), set(top)).collect()}  # at most as many
-    odds = {w: math.log((n + 0.5) / (bad + 1)) - math.log((clean.get(w, 0) + 0.5) / (good + 1)) for w, n in top.items()}
-    strong = sorted((w for w, x in odds.items() if x >= LEAST and top[w] * x >= EVIDENCE), key=lambda w: (-top[w] * odds[w], -len(w), w))
+    def odds(n, clean, log):
+        return log((n + 0.5) / (bad + 1)) - log((clean + 0.5) / (good + 1))
+
+    def enough(clean: Column) -> Column:
+        x = odds(F.col("n"), clean, F.log)
+        return (x >= LEAST) & (F.col("n") * x >= EVIDENCE)
+
+    # what would have too little evidence even if no clean row had it needn't be sought there
+    top = common.written(support(rows.where("toxic = 1"), None, "n").where(F.col("n") >= SUPPORT).where(enough(F.lit(0))), "beginnings")
+    clean = support(rows.where("toxic = 0"), _places(top), "clean")
+    strong = top.join(clean, "word", "left").fillna(0, ["clean"]).where(enough(F.col("clean")))
+    strong = strong.orderBy(F.desc(F.col("n") * odds(F.col("n"), F.col("clean"), F.log)), F.desc(F.length("word")), "word")
     chosen: dict[str, float] = {}
     taken: set[str] = set()  # beginnings of chosen entries
-    for w in strong:
+    for r in strong.toLocalIterator():  # no more of it on the driver than a partition
+        w = r["word"]
         if w not in taken and not any(w[:n] in chosen for n in range(SHORT, len(w) + 1)):
-            chosen[w] = odds[w]
+            chosen[w] = odds(r["n"], r["clean"], math.log)
             taken |= {w[:n] for n in range(SHORT, len(w) + 1)}
             if len(chosen) == LEXICON:
                 break
     return chosen or _folded_seed()
 
 
+def _places(words: DataFrame) -> np.ndarray:
+    """A bitmap of the words' crc32: 2**PLACES bits whatever their number. What it lets through too much is dropped by a join."""
+    at = F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit((1 << PLACES) - 1))
+    out = np.zeros(1 << PLACES - 3, np.uint8)
+    bits = words.groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767)).cast("int")).alias("bits"))
+    for r in bits.collect():  # 2**PLACES bits in all at most
+        out[r["bucket"] * 4096:(r["bucket"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
 def _exceptions(rows: DataFrame, model: Model) -> Model:
     """Two-word phrases around a lexicon word that clean rows have at least three times, and nine times as often."""
     lexicon = set(model.lexicon)

@@ -80,3 +80,13 @@ def test_query(spark, sample):
     got = X.op1(spark, sample)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 200
     assert got.where("predicted <> cast(score >= 0.5 AS int) OR score < 0 OR score > 1").count() == 0
+
+
+def test_rare_toxic_words_arent_cut_for_common_ones(docs, spark, monkeypatch):
+    """Ordinary words have far more beginnings of more support than 20 times the lexicon."""
+    monkeypatch.setattr(X, "LEXICON", 2)
+    rng = random.Random(5)
+    labels = [(i, int(i % 5 == 1)) for i in range(600)]
+    rows = [(i, " ".join([*rng.choices(WORDS, k=40), *(["vorklum"] if toxic and i % 4 == 0 else [])])) for i, toxic in labels]
+    model = X.learn(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any(X.fold("vorklum").strip().startswith(e) for e in model.lexicon)
