@@ -118,7 +118,7 @@ _rule("rule_allowed_lineitem_count", "SELECT event_id AS \"row\", 'event_type' A
 
 @query("rule_required", "SELECT 'missing' AS \"column\", 'required' AS rule, 'Required column `missing` is missing' AS message")
 def rule_required(spark, d):
-    report = V.validate(table(spark, d, "orders").limit(0), {"columns": {"missing": {"required": True}}}, False)
+    report = V.validate(table(spark, d, "orders"), {"columns": {"missing": {"required": True}}}, False)
     return spark.createDataFrame([(f["column"], f["rule"], f["message"]) for f in report["findings"]], "column string, rule string, message string")
 
 

@@ -312,3 +312,13 @@ def test_stream_rules(spark, tmp_path):
     assert sorted((r["row"], r["rule"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "max"), (2, "max")]
     with pytest.raises(ValueError, match="unique"):
         violations(stream, {"columns": {"v": {"unique": True}}}, "i")
+
+
+def test_rule_required_gets_the_whole_table(spark, monkeypatch):
+    from attestry.plans import catalogue
+
+    seen, validate = [], catalogue.V.validate
+    monkeypatch.setattr(catalogue.V, "validate", lambda df, *a: seen.append(df.count()) or validate(df, *a))
+    got = catalogue.QUERIES["rule_required"](spark, "/root/testdata/sf0.001").collect()
+    assert [tuple(r) for r in got] == [("missing", "required", "Required column `missing` is missing")]
+    assert seen == [spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()] and seen[0] > 0
