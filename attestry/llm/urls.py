@@ -6,8 +6,12 @@ adds to a log-likelihood difference is worked out once, by joins, and joined to
 the commonest n-grams, HEAD at most, are sent to all tasks. A URL's difference, divided by its length, is held against
 a threshold calibrated on URLs left out of the counts (crc32(url) mod 5 is 0).
 
-Defined results: a null url, or one without ``://``, has an empty host and path; without accepted or without rejected
-URLs the method allows; repeated rows are judged each for itself; other columns are ignored.
+The models read the whole URL: scheme, host, path, query and fragment.
+
+Defined results: a null url, or one without ``://``, has an empty host and path, and a null one counts as empty for the
+models; URLs are read whole however long; of thresholds with equal error the middle one is taken; without accepted or
+without rejected URLs the method allows; an empty table gives an empty result; repeated rows are judged each for
+itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -200,19 +204,18 @@ def calibrate(rows: DataFrame) -> float:
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, head: int = HEAD) -> DataFrame:
     """page_id, host, path, rule, verdict, score (of the method, where no rule fits)."""
-    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", ruled(rules, lambda v, r: r)).withColumn("accepted", ruled(rules, lambda v, r: v) == "allow")
-    left_out = F.crc32(F.concat("host", "path").cast("binary")) % 5 == 0
+    left_out = F.crc32(F.col("url").cast("binary")) % 5 == 0
     use = F.when(F.col("accepted").isNull() | left_out, USES.index("asked")).otherwise(F.col("accepted").cast("int"))
     rows = common.written(rows.withColumn("use", use).withColumn("id", F.monotonically_increasing_id()), "url_rows")
-    url = F.concat("host", "path").alias("url")
 
-    counts = count(rows.select(url, "use"))
+    counts = count(rows.select("url", "use"))
     seen = counts.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in USES]).first()
     asked = rows.where(F.col("use") == USES.index("asked"))
     if seen["rejected"] and seen["accepted"]:
         # no more than `head` n-grams can be asked for so often
-        asked = common.written(scored(asked.withColumn("url", F.concat("host", "path")), steps(counts), seen["asked"] / head), "url_scores")
+        asked = common.written(scored(asked, steps(counts), seen["asked"] / head), "url_scores")
         threshold = calibrate(asked.where("accepted IS NOT NULL"))
     else:
         asked, threshold = asked.withColumn("score", F.lit(0.0)), 0.0

@@ -104,7 +104,25 @@ def test_counts_are_exact_however_many_n_grams(spark, head):
     parts += parts[-3:]  # repeated rows are judged each for itself
     got = urls.judged(spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(parts)], "page_id long, url string"), head=head).collect()
     assert len(got) == len(parts)
-    train = [(r["host"] + r["path"], r["verdict"] == "allow") for r in got if r["rule"] and zlib.crc32((r["host"] + r["path"]).encode()) % 5]
+    url = {i: f"http://{h}{p}" for i, (h, p) in enumerate(parts)}
+    ruled = [(url[r["page_id"]], r["verdict"] == "allow") for r in got if r["rule"]]
+    held = [x for x in ruled if zlib.crc32(x[0].encode()) % 5 == 0]
     asked = [r for r in got if r["rule"] is None]
-    want = exact(train, {r["host"] + r["path"] for r in asked})
-    assert len(asked) == 153 and all(abs(r["score"] - want[r["host"] + r["path"]]) < 1e-9 for r in asked)
+    want = exact([x for x in ruled if x not in held], {url[r["page_id"]] for r in asked} | {u for u, _ in held})
+    assert len(asked) == 153 and all(abs(r["score"] - want[url[r["page_id"]]]) < 1e-9 for r in asked)
+    # the verdict is that of a threshold with the least mean error rate on the URLs left out
+    step = 2 * urls.SPAN / urls.BINS
+    place = lambda u: int((want[u] + urls.SPAN) / step)
+    sizes = Counter(ok for _, ok in held)
+    error = lambda t: sum((place(u) < t) / sizes[True] if ok else (place(u) >= t) / sizes[False] for u, ok in held)
+    low = max((want[url[r["page_id"]]] for r in asked if r["verdict"] == "block"), default=-urls.SPAN)
+    high = min((want[url[r["page_id"]]] for r in asked if r["verdict"] == "allow"), default=urls.SPAN)
+    least = min(map(error, range(urls.BINS + 1)))
+    assert low < high and any(error(t) <= least + 1e-9 for t in range(int((low + urls.SPAN) / step), int((high + urls.SPAN) / step) + 2))
+
+
+def test_the_whole_url_is_read(spark):
+    rows = [(i, f"http://a{i}.com/p?q=garden{i}#top") for i in range(200)] + [(500 + i, f"http://b{i}.net/es/p?q=casino{i}") for i in range(200)]
+    rows += [(1000, "http://q.org/x?q=casino77"), (1001, "http://q.org/x?q=garden77"), (1002, "http://q.org/" + "long" * 20_000)]
+    got = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1000]["score"] < got[1001]["score"] and len(got) == len(rows) and got[1002]["path"].startswith("/long")
