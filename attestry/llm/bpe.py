@@ -184,7 +184,8 @@ def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = False) ->
                 row = (len(ids) // 4, sha(ids).hexdigest(), sha(back.encode()).hexdigest())
                 rows.append((*row, ids, back) if keep_ids else row)
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
-        c.memory.forget()  # workers live on, and have other work
+        c.memory.forget()
+        common.release()
 
     return docs.select("doc_id", run.asNondeterministic()(F.col("text")).alias("_r")).select("doc_id", "_r.*")
 

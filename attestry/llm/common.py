@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import new_path, remove_shared, shared_dir, ship, written
 
-__all__ = ["flagged", "key_bitmap", "maybe_in", "new_path", "partitions", "parts", "prepare", "remove_shared", "shared_dir", "ship", "table", "tokenizer_path", "written"]
+__all__ = ["flagged", "key_bitmap", "maybe_in", "new_path", "partitions", "parts", "prepare", "release", "remove_shared", "shared_dir", "ship", "table", "tokenizer_path", "written"]
 
 #: Positions of a key bitmap: 2 MB in all, whatever the input's size.
 BITMAP_BITS = 24
@@ -30,6 +33,16 @@ def prepare(spark: SparkSession, rows: int = BATCH) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """Give back what a Python worker no longer needs: it lives on after its task, and has other work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own counsel
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,6 +24,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # a store is closed with its task: the memory of the others' doesn't add up
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .shingles import Words, chunks, mixed, slices, sums
+from .shingles import Words, chunks, forget, mixed, slices, sums
 
 SHINGLE, LEAST = 5, 0.8
 #: Registers, and registers in a band: texts of similarity 0.8 share a band with probability 0.998.
@@ -130,6 +130,8 @@ def signed(docs: DataFrame) -> DataFrame:
                     "bands": pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n), pa.int32()), flat),
                     "sig": pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, sig.shape[1]), pa.int32()), pa.array(sig.ravel().view(np.int32))),
                 })
+        forget()
+        common.release()
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     return common.written(rows.mapInArrow(run, "uid long, doc_id long, th long, key binary, bands array<long>, sig array<int>"), "signatures")
@@ -158,14 +160,17 @@ def _sets(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     texts = near.join(wanted, ["_key", "th"]).select("uid", "text").dropDuplicates(["uid"])
 
     @F.pandas_udf("binary")
-    def shingled(text: pd.Series) -> pd.Series:
-        out = []
-        canon = [canonical(t) for t in text]
-        for a, b in chunks(canon):
-            doc, h, w = weighted(Words(canon[a:b]))
-            cut = np.searchsorted(doc, np.arange(b - a + 1))
-            out += [h[x:y].tobytes() + w[x:y].astype(np.uint32).tobytes() for x, y in zip(cut, cut[1:], strict=False)]
-        return pd.Series(out, dtype=object)
+    def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            out = []
+            canon = [canonical(t) for t in text]
+            for a, b in chunks(canon):
+                doc, h, w = weighted(Words(canon[a:b]))
+                cut = np.searchsorted(doc, np.arange(b - a + 1))
+                out += [h[x:y].tobytes() + w[x:y].astype(np.uint32).tobytes() for x, y in zip(cut, cut[1:], strict=False)]
+            yield pd.Series(out, dtype=object)
+        forget()
+        common.release()
 
     return common.written(texts.select("uid", shingled.asNondeterministic()("text").alias("set")), "sets")
 
@@ -180,8 +185,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, least: float)
     sets = _sets(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))), reps, docs)
 
     @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(_unpacked(x), _unpacked(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([similarity(_unpacked(x), _unpacked(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+        common.release()
 
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
     return common.written(both.select("a", "b", alike.asNondeterministic()("x", "y").alias("s")).where(F.col("s") >= least - 1e-9).select("a", "b"), "links")

@@ -92,7 +92,8 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
                 cut = (len(ids) // 4 - 1) % capacity + 1
                 rows.append((len(ids) // 4, [zlib.crc32(ids[:cut * 4]), *(zlib.crc32(ids[k:k + capacity * 4]) for k in range(cut * 4, len(ids), capacity * 4))]))
             yield pd.DataFrame(rows, columns=["n", "crcs"])
-        c.memory.forget()  # workers live on, and have other work
+        c.memory.forget()
+        common.release()
 
     return docs.select("doc_id", run.asNondeterministic()(F.col("text")).alias("_r")).select("doc_id", "_r.n", "_r.crcs")
 

@@ -149,6 +149,7 @@ def threshold(docs: DataFrame) -> float:
                     h[min(BINS - 1, int(max(0.0, -math.log10(p)) / STEP))] += 1
                     w += weight(b - a)
         at = np.flatnonzero(h)
+        common.release()
         yield pd.DataFrame({"bin": [*at, -1], "n": [*h[at], int(w * 1000)]})
 
     rows = docs.select("text").mapInPandas(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BINS + 1 rows at most
@@ -178,13 +179,15 @@ def scanned(docs: DataFrame) -> DataFrame:
     limit = threshold(docs)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            spans = all_spans(t or "", limit)
-            base = [x for x in spans if x[1] < 3]
-            rows.append((*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                spans = all_spans(t or "", limit)
+                base = [x for x in spans if x[1] < 3]
+                rows.append((*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+            yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        common.release()
 
     return docs.select("doc_id", run.asNondeterministic()("text").alias("r")).select("doc_id", "r.*")
 
@@ -211,8 +214,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     limit = threshold(docs)
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None else redacted(t, limit) for t in texts], dtype=object)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([t if t is None else redacted(t, limit) for t in texts], dtype=object)
+        common.release()
 
     changed = docs.withColumn("text", clean.asNondeterministic()("text"))
     if "n_chars" in docs.columns:

@@ -24,6 +24,10 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return got
 
 
+def forget() -> None:
+    _powers.clear()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)

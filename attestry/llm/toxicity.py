@@ -17,7 +17,10 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -152,20 +155,22 @@ def _folded_seed() -> dict[str, float]:
 def _lexicon(rows: DataFrame, bad: int, good: int) -> dict[str, float]:
     def begun(wanted: np.ndarray | None):
         @F.pandas_udf("array<string>")
-        def run(texts: pd.Series) -> pd.Series:
-            out = []
-            for t in texts:
-                words, got = fold(t).split(), {}
-                for p, w in zip(["", *words], words, strict=False):
-                    if w in got:
-                        continue
-                    got[w] = p
-                seen = {}
-                for w, p in got.items():
-                    for n in range(SHORT, min(LONG, len(w)) + 1):
-                        seen.setdefault(w[:n], p)
-                out.append([f"{w} {p}" for w, p in seen.items() if wanted is None or wanted[(at := zlib.crc32(w.encode("utf-8", "surrogatepass")) & (1 << PLACES) - 1) >> 3] >> (at & 7) & 1])
-            return pd.Series(out)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                out = []
+                for t in texts:
+                    words, got = fold(t).split(), {}
+                    for p, w in zip(["", *words], words, strict=False):
+                        if w in got:
+                            continue
+                        got[w] = p
+                    seen = {}
+                    for w, p in got.items():
+                        for n in range(SHORT, min(LONG, len(w)) + 1):
+                            seen.setdefault(w[:n], p)
+                    out.append([f"{w} {p}" for w, p in seen.items() if wanted is None or wanted[(at := zlib.crc32(w.encode("utf-8", "surrogatepass")) & (1 << PLACES) - 1) >> 3] >> (at & 7) & 1])
+                yield pd.Series(out)
+            common.release()
 
         return run
 
@@ -212,16 +217,18 @@ def _exceptions(rows: DataFrame, model: Model) -> Model:
     lexicon = set(model.lexicon)
 
     @F.pandas_udf("array<string>")
-    def phrases(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            words, got = fold(t).split(), set()
-            for i, w in enumerate(words):
-                if any(w[:n] in lexicon for n in range(SHORT, min(LONG, len(w)) + 1)):
-                    got |= {" ".join(words[i - 1:i + 1])} if i else set()
-                    got |= {" ".join(words[i:i + 2])} if i + 1 < len(words) else set()
-            out.append(list(got))
-        return pd.Series(out)
+    def phrases(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                words, got = fold(t).split(), set()
+                for i, w in enumerate(words):
+                    if any(w[:n] in lexicon for n in range(SHORT, min(LONG, len(w)) + 1)):
+                        got |= {" ".join(words[i - 1:i + 1])} if i else set()
+                        got |= {" ".join(words[i:i + 2])} if i + 1 < len(words) else set()
+                out.append(list(got))
+            yield pd.Series(out)
+        common.release()
 
     seen = rows.select("toxic", F.explode(phrases("text")).alias("phrase")).groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     model.exceptions = [r["phrase"] for r in seen.where("good >= 3 AND good >= 9 * bad").orderBy(F.desc("good"), "phrase").limit(EXCEPTIONS).collect()]
@@ -229,11 +236,13 @@ def _exceptions(rows: DataFrame, model: Model) -> Model:
 
 
 def _curve(rows: DataFrame, model: Model) -> Model:
-    automaton = model.automaton()
-
     @F.pandas_udf("weight double, words long")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(automaton, t) for t in texts], columns=["weight", "words"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = model.automaton()
+        for texts in batches:
+            yield pd.DataFrame([measure(automaton, t) for t in texts], columns=["weight", "words"])
+        del automaton
+        common.release()
 
     got = rows.select("toxic", run.asNondeterministic()("text").alias("r")).select("toxic", "r.*").collect()  # about SAMPLE rows at most
     x = np.array([[1.0, *features(r["weight"], r["words"])] for r in got])
@@ -252,13 +261,13 @@ def _curve(rows: DataFrame, model: Model) -> Model:
 
 def scorer(model: Model):
     """Column function: the score of each text."""
-    made = []
-
     @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        if not made:
-            made.append(model.automaton())
-        return pd.Series([score(model.curve, *measure(made[0], t or "")) for t in texts], dtype=float)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = model.automaton()
+        for texts in batches:
+            yield pd.Series([score(model.curve, *measure(automaton, t or "")) for t in texts], dtype=float)
+        del automaton
+        common.release()
 
     return run.asNondeterministic()
 
