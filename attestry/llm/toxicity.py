@@ -7,8 +7,10 @@ and curve are learned from a bounded sample of labelled rows; rows whose crc32(d
 
 An entry's support is the number of different words before its first place in a text, so copies count once.
 
-Defined results: null and empty texts score as texts without matches; without labels the seed lexicon and a fixed
-curve hold; labels repeated for a doc_id count as toxic if one says so; other columns are ignored.
+Defined results: null and empty texts score as texts without matches; texts are read whole, in time that grows little
+faster than their length; without labels the seed lexicon and a fixed curve hold; labels repeated for a doc_id count as
+toxic if one says so; rows repeated with one doc_id are scored each for itself; a score of exactly 0.5 is toxic; an
+empty table gives an empty result; other columns are ignored (the stage keeps them).
 """
 
 from __future__ import annotations
@@ -34,9 +36,10 @@ from . import common
 SAMPLE = 12_000
 #: Different words before it that an entry needs in toxic rows, the least log odds, and the least support times odds.
 SUPPORT, LEAST, EVIDENCE = 4, 2.0, 24.0
-#: Letters of an entry.
+#: Letters of an entry: longer words are found by their first LONG letters.
 SHORT, LONG = 3, 12
-LEXICON, EXCEPTIONS = 2_000, 2_000
+#: Most entries and phrases; none: all that the sample gives evidence for.
+LEXICON, EXCEPTIONS = None, None
 #: Of the bitmap of words that are sought in clean rows.
 PLACES = 24
 #: Used where there are no labels.
@@ -112,8 +115,9 @@ def measure(automaton, text: str) -> tuple[float, int]:
     found = [(end - n, end, w) for end, (n, w) in automaton.iter(folded)]
     if not found:
         return 0.0, words
-    safe = [(a, b) for a, b, w in found if not w]
-    return sum(w for a, b, w in found if w and not any(x <= a and b <= y for x, y in safe)), words
+    safe = sorted((a, b) for a, b, w in found if not w)
+    begins, reach = [a for a, _ in safe], list(accumulate((b for _, b in safe), max))  # the farthest end of those that begin so far
+    return sum(w for a, b, w in found if w and not ((i := bisect_right(begins, a)) and reach[i - 1] >= b)), words
 
 
 def features(weight: float, words: int) -> tuple[float, float]:
@@ -231,7 +235,8 @@ def _exceptions(rows: DataFrame, model: Model) -> Model:
         common.release()
 
     seen = rows.select("toxic", F.explode(phrases("text")).alias("phrase")).groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    model.exceptions = [r["phrase"] for r in seen.where("good >= 3 AND good >= 9 * bad").orderBy(F.desc("good"), "phrase").limit(EXCEPTIONS).collect()]
+    often = seen.where("good >= 3 AND good >= 9 * bad").orderBy(F.desc("good"), "phrase")
+    model.exceptions = [r["phrase"] for r in (often.limit(EXCEPTIONS) if EXCEPTIONS else often).toLocalIterator()]
     return model
 
 
