@@ -1,11 +1,13 @@
 """Byte-pair encoding by a priority queue of merge ranks over a doubly linked symbol list (operator 8).
 
-Pieces of text come from the vocabulary file's own splitting rule. Each distinct piece is merged once and then
-remembered by its worker, in a memory of bounded size. Decoding concatenates the vocabulary's strings.
-
-Defined results: a null text counts as empty and gives no ids; texts are read whole; special tokens' strings in a
-text become those tokens, as the tokenizers library has it; other columns are ignored. What a letter is depends on the
-Unicode version of the regular-expression library: characters assigned in the last few years may be split otherwise.
+Pieces of text come from the vocabulary file's own rules: the tokenizers library normalises and splits what isn't plain
+ASCII, so letters are what that library takes for letters; plain ASCII is split by a pattern of the same meaning. Each
+distinct piece is merged here, once, and then remembered by its worker, in a memory of bounded size. Decoding
+concatenates the vocabulary's strings.
+
+Defined results: a null text counts as empty and gives no ids; texts are read whole, however long; special tokens'
+strings in a text become those tokens, as the tokenizers library has it; rows repeated with one doc_id are encoded each
+for itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,12 +16,10 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,16 +56,16 @@ class Merger:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
-        self.first = [self.vocab[x] for x in self.letters]
-        self.last = [self.vocab[x + self.suffix] for x in self.letters]
+        self.first = {x: self.vocab[x] for x in self.letters}
+        self.last = {x: self.vocab[x + self.suffix] for x in self.letters}
 
-    def merge(self, piece: str) -> list[int]:
-        raw = piece.encode()
-        if not raw:
+    def merge(self, letters: str) -> list[int]:
+        """The ids of a piece, given as the letters that stand for its bytes."""
+        if not letters:
             return []
         first, merges = self.first, self.merges
-        ids = [first[b] for b in raw]
-        ids[-1] = self.last[raw[-1]]
+        ids = [first[x] for x in letters]
+        ids[-1] = self.last[letters[-1]]
         n = len(ids)
         if n == 1:
             return ids
@@ -124,28 +124,30 @@ class WordCodec:
     """Lower-cased words with word ends, white space dropped."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        self.normalize, self.split = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
         self.merger = Merger(path)
-        self.wide = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+").findall
+        self.letters = dict(enumerate(self.merger.letters))
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+").findall
-        self.special = regex.compile("(" + "|".join(map(regex.escape, self.merger.specials)) + ")")
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.merger.specials, key=len, reverse=True))) + ")")
         self.memory = Memory(self._piece)
 
     def pieces(self, text: str) -> list[str]:
-        return self.ascii(text.lower()) if text.isascii() else self.wide(self._plain(text))
+        """Pieces of ASCII as they are, others as letters that stand for their bytes; the letters of printable ASCII are itself."""
+        if text.isascii():
+            return self.ascii(text.lower())
+        return [p for p, _ in self.split(self.normalize(text))]
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
-        ids = self.merger.merge(piece)
+        ids = self.merger.merge(piece.translate(self.letters) if piece.isascii() else piece)
         return array("I", ids).tobytes(), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings; this vocabulary file names no decoder, so a space stands between two of them."""
         return " ".join(map(self.merger.strings.__getitem__, ids))
 
-    @staticmethod
-    def _plain(text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit integers, and the text decoded from them."""
         ids, strings, memory = [], [], self.memory

@@ -36,7 +36,7 @@ def test_word_codec_is_the_library(texts):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.characters(exclude_categories=("Cs", "Cn", "Co")), max_size=60))
+@given(st.text(st.characters(exclude_categories=("Cs",)), max_size=60))
 def test_codecs_on_any_text(t):
     for name, codec in (("word_bpe_49k.json", bpe.codec), ("byte_bpe_50k.json", packing.codec)):
         ids = library_of(name).encode(t, add_special_tokens=False).ids
@@ -44,6 +44,21 @@ def test_codecs_on_any_text(t):
         assert (got[0] if isinstance(got, tuple) else got) == struct.pack(f"<{len(ids)}I", *ids), t
 
 
+@pytest.mark.parametrize("name, codec", [("word_bpe_49k.json", bpe.codec), ("byte_bpe_50k.json", packing.codec)])
+def test_codecs_on_every_code_point(name, codec):
+    """Alone, beside letters, digits and itself; a difference is looked for in lines of many, then named."""
+    lib, own = library(name), codec(common.tokenizer_path(name))
+
+    def same(t):
+        ids, got = lib.encode(t, add_special_tokens=False).ids, own.encode(t)
+        return (got[0] if isinstance(got, tuple) else got) == struct.pack(f"<{len(ids)}I", *ids)
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    probe = lambda c: f"a{chr(c)}b {chr(c)} 1{chr(c)}{chr(c)}' "
+    bad = [hex(c) for i in range(0, len(points), 64) if not same("x ".join(map(probe, points[i:i + 64]))) for c in points[i:i + 64] if not same(probe(c))]
+    assert bad == []
+
+
 _libraries = {}
 
 
