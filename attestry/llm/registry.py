@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": exact_dedup.SQL,
     "op5_neighbours": neighbours.SQL,
+    "op6_substrings": substrings.SQL,
 }

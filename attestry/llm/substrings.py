@@ -1,20 +1,26 @@
 """Removal of repeated passages by super-k-mer partitioning (operator 6).
 
 A window is 50 consecutive words. Its minimiser is the least hash of the 8-word runs in it; consecutive windows with
-one minimiser make a super-k-mer, which travels as one packed string to the bucket of its minimiser, where equal
-windows meet and are compared as bytes.
+one minimiser make a super-k-mer, which travels as one packed string to the bucket of its minimiser, where sorting
+brings equal windows together.
 
 1. Minimisers of all documents are aggregated: one that a single document has can't bring windows of two documents
    together, and its super-k-mers stay at home. The others are kept in a bitmap of fixed size, so some that needn't
    may travel too. Minimisers that a large part of the documents has are listed (a bounded list): their windows take
    the least of the rarer 8-word runs instead, so that a common line doesn't draw a third of the corpus to one bucket.
 2. Super-k-mers that travel are packed once for each distinct string and task, with the smallest and largest doc_id.
-3. Buckets find for each distinct string which of its windows a smaller document has.
+3. Buckets sort the windows of their strings, and find for each distinct string which of its windows a smaller document
+   has. A minimiser with more strings than a bucket should hold has no bucket: the windows of its strings travel each
+   for itself and are aggregated by Spark, so no minimiser is a task's fate.
 4. Occurrences are joined to that by the string's digest (a skewed join that Spark may split), gathered for each
    document, and applied to its words.
 
+In a bucket windows are equal if all their words are. Strings, and windows that travel alone, are told apart by keyed
+BLAKE2b digests of 128 bits: two different ones of n are taken for equal with a probability of n**2 / 2**129.
+
 Defined results: a null text has no words; rows without doc_id neither lend nor lose windows; rows repeated with one
-doc_id don't remove each other's words; texts are read whole; other columns are ignored.
+doc_id don't remove each other's words; texts are read whole, however long; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +31,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import Words, chunks, slices
+from .shingles import Words, chunks, forget, mixed, slices, sums
 
 WINDOW, MINIMISER = 50, 8
 #: Positions of the bitmap of shared minimisers (16 MB).
 BITS = 27
 #: A minimiser with more than one in HOT of all super-k-mers is hot: at most HOT of them.
 HOT, HOT_LEAST = 2_000, 100
-#: Rows of a bucket, about; strings that a task holds back to pack equal ones once.
-BUCKET, HELD = 20_000, 40_000
+#: Rows of a bucket, about, and rows that a minimiser may always have there; strings that a task holds back to pack equal ones once.
+BUCKET, FEW, HELD = 20_000, 128, 40_000
 
 
 def canonical(text: str | None) -> bytes:
@@ -97,6 +104,8 @@ def _shared(rows: DataFrame, window: int, size: int) -> tuple[DataFrame, int]:
             begin, _e = runs(words, at, plain, plain)
             v, d = plain[begin].view(np.int64), ids[words.doc[at[begin]]]
             yield pa.record_batch({"v": pa.array(v), "doc_id": pa.array(d, pa.int64())})
+        forget()
+        common.release()
 
     seen = rows.mapInArrow(run, "v long, doc_id long").groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
     table = common.written(seen.groupBy((F.col("lo") < F.col("hi")).alias("shared"), F.when(F.col("lo") < F.col("hi"), F.col("v")).alias("v")).agg(F.sum("n").alias("n")), "minimisers")
@@ -154,47 +163,110 @@ def _pack(rows: DataFrame, bitmap, hot, bits: int, window: int, size: int) -> Da
                 held = {}
         if held:
             yield packed(held)
+        del held
+        forget()
+        common.release()
 
     return common.written(rows.mapInArrow(run, "v long, digest binary, doc_id long, hi long, th long, start int, n int, words binary"), "superkmers")
 
 
+def ranks(ids: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """A number for each window ids[at:at + window], equal for equal windows only, by sorting them.
+
+    They are sorted by a hash, and neighbours of one hash compared word by word; should two differ, windows are ranked
+    by sorting ever longer runs of words instead.
+    """
+    values = mixed(ids.astype(np.uint64) + np.uint64(1))
+    h = sums(values, at, at + window, 0xA24BAED4963EE407)
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(at), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    same, places = np.flatnonzero(~new), np.arange(window)
+    for i in range(0, len(same), 1 << 14):
+        k = same[i:i + (1 << 14)]
+        if (ids[at[order[k]][:, None] + places] != ids[at[order[k - 1]][:, None] + places]).any():
+            return _ranks_by_doubling(ids, window)[at]
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def _ranks_by_doubling(ids: np.ndarray, window: int) -> np.ndarray:
+    rank, width = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
+    while width < window:
+        step = min(width, window - width)
+        rank = np.unique(rank[:len(rank) - step] * (rank.max() + 1) + rank[step:], return_inverse=True)[1].astype(np.int64)
+        width += step
+    return rank
+
+
+def earlier(strings: list[bytes], lo: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+    """For each string (words joined by one space) and each of its windows, whether one with a smaller lo has it."""
+    words = pc.split_pattern(pa.array(strings, pa.large_binary()), b" ")
+    counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    n = np.maximum(0, counts - window + 1)
+    owner, ends = np.repeat(np.arange(len(strings)), n), np.cumsum(n)
+    at = np.arange(len(owner)) - np.repeat(ends - n, n) + np.repeat(np.cumsum(counts) - counts, n)
+    if not len(at):
+        return [np.zeros(0, bool) for _ in strings]
+    rank = ranks(ids, at, window)
+    least = np.full(rank.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, rank, lo[owner])
+    return np.split(least[rank] < lo[owner], ends[:-1])
+
+
 def _bucket(window: int):
     """For each distinct string that needs it: the smallest doc_id, and which windows a still smaller document has."""
 
-    def windows(s: bytes) -> list[bytes]:
-        cuts = [-1]
-        at = s.find(b" ")
-        while at >= 0:
-            cuts.append(at)
-            at = s.find(b" ", at + 1)
-        cuts.append(len(s))
-        return [s[cuts[i] + 1:cuts[i + window]] for i in range(len(cuts) - window)]
-
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.groupby("digest", sort=False).agg(lo=("doc_id", "min"), hi=("hi", "max"), words=("words", "first"))
+        masks = earlier([bytes(x) for x in rows["words"]], rows["lo"].to_numpy(np.int64), window)
         out = []
-        for _, same in rows.groupby("v", sort=True):
-            strings: dict[bytes, list] = {}
-            for h, lo, hi, s in zip(same["digest"], same["doc_id"], same["hi"], same["words"], strict=True):
-                old = strings.setdefault(bytes(h), [lo, hi, bytes(s)])
-                old[0], old[1] = min(old[0], lo), max(old[1], hi)
-            least: dict[bytes, int] = {}
-            if len(strings) > 1:
-                for lo, _hi, s in strings.values():
-                    for w in windows(s):
-                        if least.get(w, lo) >= lo:
-                            least[w] = lo
-            for h, (lo, hi, s) in strings.items():
-                mask = [least[w] < lo for w in windows(s)] if least else []
-                if any(mask):
-                    out.append((h, lo, np.packbits(mask, bitorder="little").tobytes()))
-                elif lo < hi:
-                    out.append((h, lo, None))
+        for h, lo, hi, mask in zip(rows.index, rows["lo"], rows["hi"], masks, strict=True):
+            if mask.any():
+                out.append((h, lo, np.packbits(mask, bitorder="little").tobytes()))
+            elif lo < hi:
+                out.append((h, lo, None))
         return pd.DataFrame(out, columns=["digest", "lo", "mask"])
 
     return run
 
 
-def covered(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, bits: int = BITS, hot_share: int = HOT, hot_least: int = HOT_LEAST) -> DataFrame:
+def _crowded(strings: DataFrame, window: int) -> DataFrame:
+    """The same as buckets find, for strings whose windows travel each for itself."""
+    strings = common.written(strings.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("hi").alias("hi"), F.first("words").alias("words")), "crowded")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            digests, los, at, windows = [], [], [], []
+            for h, lo, s in zip(*(batch.column(c).to_pylist() for c in ("digest", "lo", "words")), strict=True):
+                words = s.split(b" ")
+                for i in range(len(words) - window + 1):
+                    windows.append(hashlib.blake2b(b" ".join(words[i:i + window]), digest_size=16).digest())
+                    digests.append(h)
+                    los.append(lo)
+                    at.append(i)
+            yield pa.record_batch({"digest": pa.array(digests, pa.binary()), "lo": pa.array(los, pa.int64()), "i": pa.array(at, pa.int32()), "w": pa.array(windows, pa.binary())})
+
+    windows = common.written(strings.select("digest", "lo", "words").mapInArrow(cut, "digest binary, lo long, i int, w binary"), "windows")
+    least = windows.groupBy("w").agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "least")
+    found = windows.join(common.written(least, "least"), "w").where("least < lo").groupBy("digest").agg(F.collect_list("i").alias("at"))
+
+    @F.pandas_udf("binary")
+    def mask(at: pd.Series) -> pd.Series:
+        out = []
+        for x in at:
+            bits = np.zeros(max(x) + 1, bool)
+            bits[np.asarray(x)] = True
+            out.append(np.packbits(bits, bitorder="little").tobytes())
+        return pd.Series(out, dtype=object)
+
+    masks = found.select("digest", mask.asNondeterministic()("at").alias("mask"))
+    return strings.join(masks, "digest", "left").where("mask IS NOT NULL OR lo < hi").select("digest", "lo", "mask")
+
+
+def covered(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, bits: int = BITS, hot_share: int = HOT, hot_least: int = HOT_LEAST, bucket: int = BUCKET, few: int = FEW) -> DataFrame:
     """doc_id, th, found: windows to remove, as a list of (start, n, mask), for each document that loses words."""
     spark = docs.sparkSession
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
@@ -203,9 +275,14 @@ def covered(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, bits:
     sent = spark.sparkContext.broadcast(_bitmap(shared, bits)), spark.sparkContext.broadcast(np.sort(hot))
     table = _pack(rows, *sent, bits, window, size)
     strings = table.where("words IS NOT NULL")
-    buckets = max(common.partitions(spark), strings.count() // BUCKET)
-    found = strings.select("v", "digest", "doc_id", "hi", "words").withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)))
-    found = found.groupBy("bucket").applyInPandas(_bucket(window), "digest binary, lo long, mask binary")
+    strings = strings.select("v", "digest", "doc_id", "hi", "words")
+    n = strings.count()
+    buckets = max(common.partitions(spark), n // bucket)
+    crowds = common.written(strings.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(few, n // buckets)).select("v"), "crowds")
+    calm = strings.join(crowds, "v", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)))
+    found = calm.groupBy("bucket").applyInPandas(_bucket(window), "digest binary, lo long, mask binary")
+    if not crowds.isEmpty():
+        found = found.unionByName(_crowded(strings.join(crowds, "v", "left_semi"), window))
     seen = table.where("words IS NULL").select("digest", "doc_id", "th", "start", "n")
     hits = seen.join(found, "digest").where("doc_id > lo OR mask IS NOT NULL")
     hits = hits.select("doc_id", "th", F.struct("start", "n", F.when(F.col("doc_id") == F.col("lo"), F.col("mask")).alias("mask")).alias("hit"))
@@ -240,12 +317,14 @@ def cleaned(docs: DataFrame, window: int = WINDOW, texts: bool = False, **option
     fields = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
 
     @F.pandas_udf(fields)
-    def run(text: pd.Series, found: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, f in zip(text, found, strict=True):
-            n, gone, kept = kept_words(t, f, window)
-            rows.append((n, gone, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] * texts)))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in fields.split(", ")])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, found in batches:
+            rows = []
+            for t, f in zip(text, found, strict=True):
+                n, gone, kept = kept_words(t, f, window)
+                rows.append((n, gone, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] * texts)))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in fields.split(", ")])
+        common.release()
 
     spans = covered(docs, window, **options)
     mine = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
@@ -258,3 +337,15 @@ def cleaned(docs: DataFrame, window: int = WINDOW, texts: bool = False, **option
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return cleaned(common.table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS win FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+f AS (SELECT win, min(doc_id) AS lo FROM k GROUP BY win),
+g AS (SELECT doc_id, i, 1 AS gone FROM k JOIN f USING (win) WHERE lo < doc_id),
+s AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+c AS (SELECT doc_id, i, word, coalesce(max(gone) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING), 0) AS gone FROM s LEFT JOIN g USING (doc_id, i)),
+a AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256 FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""

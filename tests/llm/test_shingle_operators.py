@@ -50,7 +50,7 @@ def passages(seed, n=60):
     return rows + [(500, rows[4][1]), (501, rows[4][1]), (501, rows[4][1]), (501, text(200)), (None, rows[4][1]), (600, None), (601, ""), (602, " \x0b\x0c"), (603, "é\xa0x " * 60), (2, "é\xa0x " * 70), (700, "same " * 300), (1, "same " * 200)]
 
 
-@pytest.mark.parametrize("options", [{"window": 12, "size": 4}, {"window": 50}, {"window": 12, "size": 4, "bits": 15, "hot_share": 5, "hot_least": 2}])
+@pytest.mark.parametrize("options", [{"window": 12, "size": 4}, {"window": 50}, {"window": 12, "size": 4, "bits": 15, "hot_share": 5, "hot_least": 2}, {"window": 12, "size": 4, "bucket": 1, "few": 0}, {"window": 50, "bucket": 1, "few": 0}])
 def test_removal_is_exact(docs, options):
     rows = passages(1)
     got = S.cleaned(docs(rows), texts=True, **options).collect()
@@ -67,6 +67,28 @@ def test_removal_in_an_empty_table_and_a_very_long_text(docs):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == plain_removal(rows, 50)
 
 
+def test_windows_are_ranked_by_their_words(monkeypatch):
+    rng = np.random.default_rng(3)
+    for window in (2, 3, 12, 50):
+        ids = rng.integers(0, 3, 400).astype(np.int32)
+        ids[200:300] = ids[50:150]
+        at = np.flatnonzero(rng.random(400 - window) < 0.7)
+        plain = [tuple(ids[a:a + window].tolist()) for a in at]
+        for hashed in (S.sums, lambda values, a, b, base: a * 0):  # also when all hashes are equal
+            monkeypatch.setattr(S, "sums", hashed)
+            got = S.ranks(ids, at, window).tolist()
+            assert len(set(zip(got, plain, strict=True))) == len(set(got)) == len(set(plain))
+        monkeypatch.undo()
+
+
+def test_sql_is_the_plain_removal():
+    import duckdb
+
+    rows = [(i, t) for i, t in passages(1) if i not in (None, 501, 603)] + [(801, "a\u00a0b " * 120), (802, "x a\u00a0b " * 120)]
+    documents = __import__("pandas").DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    assert sorted(duckdb.sql(S.SQL).project("doc_id, n_words, n_removed, kept_sha256").fetchall(), key=repr) == plain_removal(rows, 50)
+
+
 def test_windows_and_minimisers():
     a = np.array([5, 3, 8, 1, 9, 2, 7], np.uint64)
     for n in range(1, 8):
