@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import new_path, remove_shared, shared_dir, ship, written
 
-__all__ = ["flagged", "key_bitmap", "maybe_in", "new_path", "partitions", "parts", "prepare", "release", "remove_shared", "shared_dir", "ship", "table", "tokenizer_path", "written"]
+__all__ = ["exists", "flagged", "key_bitmap", "maybe_in", "new_path", "partitions", "parts", "prepare", "release", "remove_shared", "shared_dir", "ship", "table", "tokenizer_path", "written"]
 
 #: Positions of a key bitmap: 2 MB in all, whatever the input's size.
 BITMAP_BITS = 24
@@ -33,6 +33,11 @@ def prepare(spark: SparkSession, rows: int = BATCH) -> None:
         spark.conf.set(key, str(rows))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def release() -> None:
     """Give back what a Python worker no longer needs: it lives on after its task, and has other work."""
     gc.collect()

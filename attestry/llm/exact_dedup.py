@@ -1,12 +1,19 @@
 """Exact deduplication over disk-backed keyed state (operator 10, DataFrame functions only).
 
-Digests stream into a keyed state held by RocksDB that never expires. For each digest the state retains the number of
-rows, the identifier of the row that stays and the place of its content. Rows that hit an existing digest are then
-compared with that content byte by byte; rows that differ in spite of equal digests are regrouped by their whole text.
+Rows are taken into a content store, where each has a place of its own: a whole number made of the number of its run,
+its file and its row. Their digests stream into a keyed state held by RocksDB that never expires. For each digest the
+state retains the number of rows, the identifier of the row that stays and the place of its content; with the same
+folder, a later run goes on from the state and the store it has. Rows that hit a digest are then held against the content
+at its place byte by byte: hits and that row fall into one group only if all their bytes are equal. Rows that differ
+in spite of equal digests are regrouped by their whole text.
+
+All aggregates are over numbers, so they are hash aggregates with partial results before their shuffle; rows whose
+digest nobody shares are in no shuffle but the state's, of digests.
 
 Defined results: a null text counts as empty; equal texts are those identical after lower-casing A-Z; of equal texts
 the row with the largest doc_id stays, a null doc_id below all others, and of rows repeated with one doc_id exactly
-one; an empty table gives an empty result; other columns are ignored whatever their names.
+one; texts are read whole, however long; an empty table gives an empty result; other columns are ignored whatever
+their names (the stage keeps them).
 """
 
 from __future__ import annotations
@@ -27,6 +34,8 @@ STATE = {
     # a store is closed with its task: the memory of the others' doesn't add up
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+#: Places of a run: 2**23 files of 2**33 rows, for 128 runs over one state.
+RUN = 56
 
 
 def normalised(text: Column) -> Column:
@@ -39,98 +48,89 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def run_state(spark: SparkSession, digests: str, schema, checkpoint: str) -> DataFrame:
-    """Stream what is new in the digests' folder into the keyed state; return the state: digest, n, keep.
+def taken_in(docs: DataFrame, at: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The content store with docs added: id, place, digest, row (a struct of docs' columns), of this and all runs before."""
+    spark = docs.sparkSession
+    run = 0
+    while common.exists(spark, f"{at}/content/run={run}"):
+        run += 1
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), (F.monotonically_increasing_id() + (run << RUN)).alias("place"), digest(normalised(F.col("text"))).alias("digest"), row.alias("row"))
+    rows.write.parquet(f"{at}/content/run={run}")
+    return spark.read.schema(rows.schema).parquet(f"{at}/content")
+
 
-    Run again with the same checkpoint after more files arrived, it goes on from the state it has.
-    """
+def _kept() -> list[Column]:
+    """Of equal texts: the largest id and the place of one row that has it, and their number."""
+    order = F.coalesce("id", F.lit(-(2**63)))
+    return [F.max("id").alias("keep_id"), F.max_by("place", order).alias("keep_place"), F.count(F.lit(1)).alias("n")]
+
+
+def run_state(content: DataFrame, at: str) -> DataFrame:
+    """Stream what is new in the content store into the keyed state; return the state: digest, keep_id, keep_place, n."""
+    spark = content.sparkSession
     before = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(schema).parquet(digests)
-        state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "uid", "place")).alias("keep"), F.count(F.lit(1)).alias("n"))
-        query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream = spark.readStream.schema(content.schema).parquet(f"{at}/content")
+        state = stream.select("id", "place", "digest").groupBy("digest").agg(*_kept())
+        query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    stored = spark.read.format("statestore").load(checkpoint)
-    value = dict(zip(("keep", "n"), stored.schema["value"].dataType.names, strict=True))
-    return stored.select(F.col("key.digest").alias("digest"), F.col(f"value.{value['keep']}").alias("keep"), F.col(f"value.{value['n']}").alias("n"))
+    stored = spark.read.format("statestore").load(f"{at}/state")
+    keep_id, keep_place, _, n = stored.schema["value"].dataType.names  # the third is what max_by goes by
+    return stored.select(F.col("key.digest").alias("digest"), F.col(f"value.{keep_id}").alias("keep_id"), F.col(f"value.{keep_place}").alias("keep_place"), F.col(f"value.{n}").alias("n"))
 
 
-def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """doc_id, digest, keep_id, group_size, kept: one row for each row of docs (columns doc_id, text).
+def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256, at: str | None = None) -> DataFrame:
+    """doc_id, place, digest, keep_id, group_size, kept: one row for each row of docs, and of the runs before."""
+    return decided(docs, digest, at)[0]
 
-    digest: of the normalised text; tests pass one that collides.
-    """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", normalised(F.col("text")).alias("_text"))
-    path = common.new_path(spark, "digests")
-    docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), digest(F.col("_text")).alias("digest"), F.input_file_name().alias("place")).write.parquet(path)
-    rows = spark.read.parquet(path)
-    if rows.isEmpty():
-        return rows.select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    state = run_state(spark, path, rows.schema, common.new_path(spark, "state"))
-    flat = state.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid"), F.col("n").alias("group_size"))
-    decided = common.written(rows.select("doc_id", "uid", "digest").join(flat, "digest"), "decided")
-    bad = _unequal(docs, decided.where("group_size > 1"), digest)
-    if not bad.isEmpty():
-        decided = _regrouped(decided, bad)
-    return decided.select("doc_id", "digest", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"))
 
+def decided(docs: DataFrame, digest: Callable[[Column], Column] = sha256, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The decisions on each row of the content store, and the store.
 
-def _unequal(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, digest, text) of rows whose text differs from that of the row kept for their digest.
-
-    Only rows that may be in a group of two or more are read into a shuffle; a hot group's rows are split by AQE.
+    digest: of the normalised text; tests pass one that collides. at: the folder of an earlier run to go on from.
     """
-    near = common.maybe_in(docs.withColumn("_key", F.coalesce("doc_id", F.lit(-1))), "_key", common.key_bitmap(hits.select(F.coalesce("doc_id", F.lit(-1)).alias("_key")), "_key"))
-    near = near.select("doc_id", "_text", digest(F.col("_text")).alias("digest"))
-    keepers = hits.where("uid = keep_uid").select("digest", F.col("keep_id"))
-    first = near.alias("a").join(keepers.alias("b"), (F.col("a.digest") == F.col("b.digest")) & F.col("a.doc_id").eqNullSafe(F.col("b.keep_id"))).groupBy("a.digest").agg(F.min("a._text").alias("_kept_text"))
-    first = common.written(first, "kept_texts")  # so that Spark may split a hot digest in the join
-    unequal = near.join(first, "digest").where(F.col("_text") != F.col("_kept_text"))
-    return common.written(unequal.select("doc_id", "digest", "_text"), "unequal")
-
-
-def _regrouped(decided: DataFrame, bad: DataFrame) -> DataFrame:
-    """Equal digests, unequal texts: such rows form groups by their whole text, and leave the group they were in."""
-    rows = bad.withColumn("uid", F.monotonically_increasing_id())
-    own = rows.groupBy("digest", "_text").agg(F.max(F.struct("doc_id", "uid")).alias("k"), F.count(F.lit(1)).alias("group_size"))
-    new = rows.join(own, ["digest", "_text"]).select("doc_id", "uid", "digest", F.col("k.doc_id").alias("keep_id"), F.col("k.uid").alias("keep_uid"), own["group_size"])
-    left = bad.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("gone"))
-    less = bad.groupBy("digest").agg(F.count(F.lit(1)).alias("fewer"))
-    # of rows with one doc_id and one digest, those that stay in the old group are as many as have equal texts
-    from pyspark.sql import Window
-
-    at = Window.partitionBy("doc_id", "digest").orderBy(F.col("uid") == F.col("keep_uid"), "uid")
-    old = decided.join(left, (decided["doc_id"].eqNullSafe(left["doc_id"])) & (decided["digest"] == left["digest"]), "left").select(decided["*"], "gone")
-    old = old.withColumn("_i", F.row_number().over(at)).where("gone IS NULL OR _i > gone")
-    old = old.join(less, "digest", "left").withColumn("group_size", F.col("group_size") - F.coalesce("fewer", F.lit(0)))
-    cols = ["doc_id", "uid", "digest", "keep_id", "keep_uid", "group_size"]
-    return old.select(cols).unionByName(new.select(cols))
+    at = at or common.new_path(docs.sparkSession, "exact")
+    content = taken_in(docs, at, digest)
+    rows = content.select("id", "place", "digest")
+    if rows.isEmpty():
+        return rows.select(F.col("id").alias("doc_id"), "place", "digest", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept")), content
+    shared = common.written(run_state(content, at).where("n > 1"), "shared")
+    near, far = common.parts(content, "digest", shared)
+    alone = far.select(F.col("id").alias("doc_id"), "place", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    # what a bitmap let through too much is alone, too
+    found = near.select("id", "place", "digest").join(shared, "digest", "left")
+    size, keep = F.coalesce("n", F.lit(1)), F.coalesce("keep_place", "place")
+    made = found.select(F.col("id").alias("doc_id"), "place", "digest", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), size.alias("group_size"), (F.col("place") == keep).alias("kept"))
+    made = common.written(made, "decided")
+    texts = near.select("id", "place", "digest", normalised(F.col("row.text")).alias("text"))
+    equal = texts.groupBy("digest", "text").agg(*_kept())
+    bad = common.written(equal.select("digest", F.col("n").alias("m")).join(shared, "digest").where("m < n").select("digest").distinct(), "unequal")
+    if not bad.isEmpty():
+        own = texts.join(bad, "digest").join(common.written(equal.join(bad, "digest"), "regrouped"), ["digest", "text"])
+        own = own.select(F.col("id").alias("doc_id"), "place", "digest", "keep_id", F.col("n").alias("group_size"), (F.col("place") == F.col("keep_place")).alias("kept"))
+        made = common.written(made.join(bad, "digest", "left_anti").unionByName(own), "decided")
+    return made.unionByName(alone), content
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = decide(common.table(spark, sf_dir, "documents"))
-    return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return decide(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the largest doc_id stays, with all its columns.
+    """Pipeline stage: of equal texts the row with the largest doc_id stays, with all its columns, read at its place.
 
-    Only rows whose doc_id may be that of a row in a group are read into a shuffle.
+    Only rows whose place may be that of a row that goes are read into a shuffle.
     """
-    decided = common.written(decide(docs).where("group_size > 1").select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), "digest", "kept"), "groups")
-    kept = decided.where("kept").select("_key", "digest").distinct()
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("_key"), F.col("text"))
-    near, far = common.parts(row, "_key", decided.select("_key"))
-    near = near.withColumn("digest", sha256(normalised(F.col("text")))).select("row", "_key", "digest")
-    free = near.join(decided.select("_key", "digest"), ["_key", "digest"], "left_anti")
-    once = near.join(kept, ["_key", "digest"], "left_semi").dropDuplicates(["_key", "digest"])
-    return far.select("row").unionByName(free.select("row")).unionByName(once.select("row")).select("row.*")
+    made, content = decided(docs)
+    gone = common.written(made.where("NOT kept").select("place"), "gone")
+    near, far = common.parts(content.select("place", "row"), "place", gone)
+    return far.select("row").unionByName(near.join(gone, "place", "left_anti").select("row")).select("row.*")
 
 
 SQL = """

@@ -49,12 +49,22 @@ def test_main_path_has_no_python(spark, sample):
 
 
 def test_state_goes_on(spark, docs):
+    """A second run over the same folder knows the rows of the first."""
     from attestry.llm import common
 
-    path, checkpoint = common.new_path(spark, "t"), common.new_path(spark, "t")
-    first = spark.range(3).selectExpr("id AS doc_id", "id AS uid", "cast('a' AS binary) AS digest", "'p' AS place")
-    first.write.parquet(path)
-    exact_dedup.run_state(spark, path, first.schema, checkpoint)
-    spark.range(5, 6).selectExpr("id AS doc_id", "id AS uid", "cast('a' AS binary) AS digest", "'p' AS place").write.mode("append").parquet(path)
-    state = exact_dedup.run_state(spark, path, first.schema, checkpoint).collect()
-    assert [(r["keep"]["doc_id"], r["n"]) for r in state] == [(5, 4)]
+    at = common.new_path(spark, "t")
+    for i in range(0, len(CASES), 5):
+        check(exact_dedup.decide(docs(CASES[i:i + 5]), at=at).collect(), CASES[:i + 5])
+
+
+def test_places_lead_to_the_content(docs):
+    made, content = exact_dedup.decided(docs(CASES))
+    places = {r["place"]: r["row"] for r in content.collect()}
+    assert len(places) == len(CASES) and all(places[r["place"]]["doc_id"] == r["doc_id"] for r in made.collect())
+
+
+def test_aggregates_are_hashed(docs, spark, sample):
+    """Numbers in every buffer: no aggregation sorts its rows."""
+    content = exact_dedup.taken_in(docs(CASES), exact_dedup.common.new_path(spark, "t"))
+    for keys in (["digest"], ["digest", "id"]):
+        assert "SortAggregate" not in content.groupBy(*keys).agg(*exact_dedup._kept())._jdf.queryExecution().toString()
