@@ -1,4 +1,4 @@
-"""The canonical bytes of cells and rows, made by array operations for flat columns.
+"""The canonical bytes of cells and rows, made by array operations at any depth.
 
 Fixed values, so that equal data have equal fingerprints everywhere: a cell is the marker CELL, the column's number,
 the length of its value and the value; a null is one zero byte; any other value begins with its type's tag. Integers
@@ -11,6 +11,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,14 +75,15 @@ def length(c: Column, t: T.DataType) -> Column:
 
 
 def row_length(fields: list[T.StructField]) -> Column:
+    """Bytes of a row's cells. A column of a type that has no canonical bytes can only hold nulls, of one byte each."""
     total = F.lit(HEAD * len(fields)).cast("long")
     for f in fields:
-        total = total + length(F.col(f"`{f.name}`"), f.dataType)
+        total = total + (length(F.col(f"`{f.name}`"), f.dataType) if supported(f.dataType) else F.lit(1).cast("long"))
     return total
 
 
 def value_bytes(v, t: T.DataType) -> bytes:
-    """The canonical bytes of one value as Arrow gives it to Python (nested types)."""
+    """The canonical bytes of one value as Arrow gives it to Python."""
     if v is None:
         return b"\0"
     if isinstance(t, T.ArrayType):
@@ -118,56 +120,124 @@ def _raw(a: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(a.buffers()[1], np.uint8)[a.offset * width:(a.offset + n) * width].reshape(n, width)
 
 
+def _eights(n: np.ndarray) -> np.ndarray:
+    """Whole numbers as eight little-endian bytes each."""
+    return np.ascontiguousarray(n.astype("<u8")).view(np.uint8).reshape(len(n), 8)
+
+
+def _place(out: np.ndarray, at: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> None:
+    """Copy consecutive pieces of data, of the given sizes, to where they belong."""
+    if not len(sizes):
+        return
+    if sizes[0] == sizes.min() == sizes.max():
+        out[at[:, None] + np.arange(sizes[0])] = data.reshape(len(sizes), sizes[0])
+        return
+    ends = np.cumsum(sizes)
+    if ends[-1] > 64 * len(sizes):
+        for p, e, n in zip(at.tolist(), ends.tolist(), sizes.tolist(), strict=True):
+            out[p:p + n] = data[e - n:e]
+    else:
+        out[np.arange(ends[-1]) + np.repeat(at - ends + sizes, sizes)] = data
+
+
+def encoded(a: pa.Array, t: T.DataType) -> tuple[np.ndarray, np.ndarray]:
+    """The canonical bytes of all values of an array, one after the other, and the size of each."""
+    n = len(a)
+    if isinstance(t, T.NullType) or not supported(t):
+        return np.zeros(n, np.uint8), np.ones(n, np.int64)
+    null = np.asarray(a.is_null()) if a.null_count else np.zeros(n, bool)
+    full = ~null
+    if fixed(t):
+        tag, width = fixed(t)
+        parts = [(np.full(n, width), _raw(a, width)[full].reshape(-1))] if n else []
+        sizes = np.full(n, 1 + width, np.int64)
+    elif isinstance(t, (T.StringType, T.BinaryType)):
+        tag, lengths = (STRING if isinstance(t, T.StringType) else BINARY), pc.fill_null(pc.binary_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        wide = pa.types.is_large_string(a.type) or pa.types.is_large_binary(a.type)
+        off = np.frombuffer(a.buffers()[1], np.int64 if wide else np.int32)[a.offset:a.offset + n + 1] if n else np.zeros(1, np.int64)
+        raw = np.frombuffer(a.buffers()[2], np.uint8)[off[0]:off[-1]] if a.buffers()[2] is not None else np.zeros(0, np.uint8)
+        if len(raw) != lengths.sum():  # bytes under nulls
+            raw = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(a.buffers()[2], np.uint8)[off[i]:off[i + 1]] for i in np.flatnonzero(full))])
+        parts, sizes = [(np.full(n, 8), _eights(lengths[full]).reshape(-1)), (lengths, raw)], 9 + lengths
+    else:
+        if isinstance(t, T.StructType):
+            tag, counts = STRUCT, np.full(n, len(t), np.int64)
+            children = [encoded(x, f.dataType) for x, f in zip(a.flatten(), t, strict=True)]
+        else:
+            tag = LIST if isinstance(t, T.ArrayType) else MAP
+            off = a.offsets.to_numpy(zero_copy_only=False).astype(np.int64) if n else np.zeros(1, np.int64)
+            counts = np.where(null, 0, np.diff(off))
+            inner = t.elementType if isinstance(t, T.ArrayType) else T.StructType([T.StructField("key", t.keyType), T.StructField("value", t.valueType)])
+            children = [encoded(_items(a), inner)]
+        return _nested(tag, counts, null, children)
+    sizes = np.where(null, 1, sizes)
+    out, at = np.zeros(int(sizes.sum()), np.uint8), np.cumsum(sizes) - sizes
+    at = at[full]
+    out[at] = tag
+    at = at + 1
+    for width, data in parts:
+        width = width[full]
+        _place(out, at, data, width)
+        at = at + width
+    return out, sizes
+
+
+def _items(a: pa.Array) -> pa.Array:
+    """The elements of lists, or the entries of maps, that aren't null."""
+    if not pa.types.is_map(a.type):
+        return a.flatten()
+    begin, end = a.offsets[0].as_py() if len(a) else 0, a.offsets[-1].as_py() if len(a) else 0
+    return pa.StructArray.from_arrays([a.keys[begin:end] if len(a.keys) != end - begin else a.keys, a.items[begin:end] if len(a.items) != end - begin else a.items], ["key", "value"])
+
+
+def _nested(tag: int, counts: np.ndarray, null: np.ndarray, children: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences: their tag, their number of items, and each item after its size. Several children take turns."""
+    n, k = len(counts), len(children)
+    if k == 1 and tag != STRUCT:
+        owner, inner = np.repeat(np.arange(n), counts), [children[0]]
+    else:
+        owner, inner = None, children
+    sizes = np.full(n, 9, np.int64)
+    for _, s in inner:
+        sizes += np.bincount(owner, s + 8, n).astype(np.int64) if owner is not None else s + 8
+    sizes = np.where(null, 1, sizes)
+    out, begin = np.zeros(int(sizes.sum()), np.uint8), np.cumsum(sizes) - sizes
+    at = begin[~null]
+    out[at] = tag
+    out[at[:, None] + 1 + np.arange(8)] = _eights(counts[~null])
+    if owner is not None:
+        data, s = inner[0]
+        ends = np.cumsum(s + 8)
+        before = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
+        at = begin[owner] + 9 + ends - s - 8 - before[owner]
+        out[at[:, None] + np.arange(8)] = _eights(s)
+        _place(out, at + 8, data, s)
+        return out, sizes
+    at = begin + 9
+    for data, s in inner:
+        keep = ~null
+        if not keep.all():
+            data, s = data[np.repeat(keep, s)], s[keep]
+            at, keep = at[keep] if len(at) == n else at, None
+        out[at[:, None] + np.arange(8)] = _eights(s)
+        _place(out, at + 8, data, s)
+        at = at + 8 + s
+    return out, sizes
+
+
 def encoded_rows(batch: pa.RecordBatch, types: list[T.DataType], numbers: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All cells of the batch, row by row, in one buffer; and where each row ends. numbers: of the columns."""
-    n, columns = batch.num_rows, []
-    sizes = np.empty((n, len(types)), np.int64)
-    for j, t in enumerate(types):
-        a = batch.column(j)
-        null = np.asarray(a.is_null()) if a.null_count else np.zeros(n, bool)
-        flat = fixed(t)
-        if isinstance(t, T.NullType):
-            null, data = np.ones(n, bool), None
-            size = np.ones(n, np.int64)
-        elif flat:
-            data = _raw(a, flat[1])
-            size = np.full(n, 1 + flat[1], np.int64)
-        elif isinstance(t, (T.StringType, T.BinaryType)):
-            wide = pa.types.is_large_string(a.type) or pa.types.is_large_binary(a.type)
-            off = np.frombuffer(a.buffers()[1], np.int64 if wide else np.int32)[a.offset:a.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
-            raw = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None else np.zeros(0, np.uint8)
-            data, size = (off, raw), 9 + np.diff(off)
-        else:
-            data = [value_bytes(v, t) for v in a.to_pylist()]
-            size = np.fromiter(map(len, data), np.int64, n)
-        sizes[:, j] = np.where(null, 1, size)
-        columns.append((t, null, flat, data))
-    ends = np.cumsum(sizes + HEAD, axis=None).reshape(n, len(types)) if n else np.zeros((0, len(types)), np.int64)
-    out = np.empty(int(ends[-1, -1]) if n and types else 0, np.uint8)
-    for j, (t, null, flat, data) in enumerate(columns):
-        at = ends[:, j] - sizes[:, j] - HEAD
+    n = batch.num_rows
+    if not n or not types:
+        return np.empty(0, np.uint8), np.zeros(n, np.int64)
+    columns = [encoded(batch.column(j), t) for j, t in enumerate(types)]
+    sizes = np.stack([s for _, s in columns], axis=1)
+    ends = np.cumsum(sizes + HEAD, axis=None).reshape(n, len(types))
+    out = np.empty(int(ends[-1, -1]), np.uint8)
+    for j, (data, size) in enumerate(columns):
+        at = ends[:, j] - size - HEAD
         head = np.frombuffer(CELL + struct.pack("<Q", numbers[j] if numbers else j), np.uint8)
         out[at[:, None] + np.arange(len(head))] = head
-        out[at[:, None] + len(head) + np.arange(8)] = np.ascontiguousarray(sizes[:, j].astype("<u8")).view(np.uint8).reshape(n, 8)
-        at = at + HEAD
-        out[at[null]] = 0
-        at = at[~null]
-        if isinstance(t, T.NullType):
-            continue
-        if flat:
-            out[at] = flat[0]
-            out[at[:, None] + 1 + np.arange(flat[1])] = data[~null]
-        elif isinstance(data, tuple):
-            off, raw = data
-            size = np.diff(off)[~null]
-            out[at] = STRING if isinstance(t, T.StringType) else BINARY
-            out[at[:, None] + 1 + np.arange(8)] = np.ascontiguousarray(size.astype("<u8")).view(np.uint8).reshape(len(at), 8)
-            total = int(size.sum())
-            if total:
-                within = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-                out[np.repeat(at + 9, size) + within] = raw[np.repeat(off[:-1][~null], size) + within]
-        else:
-            for p, v, skip in zip((ends[:, j] - sizes[:, j]).tolist(), data, null, strict=True):
-                if not skip:
-                    out[p:p + len(v)] = np.frombuffer(v, np.uint8)
-    return out, (ends[:, -1] if n and types else np.zeros(0, np.int64))
+        out[at[:, None] + len(head) + np.arange(8)] = _eights(size)
+        _place(out, at + HEAD, data, size)
+    return out, ends[:, -1]

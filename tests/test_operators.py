@@ -9,6 +9,8 @@ import pyarrow.parquet as parquet
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import attestry
 from attestry import cli
@@ -81,6 +83,31 @@ def test_fingerprint_of_empty_and_unsupported_data(spark):
     fingerprint(spark.sql("SELECT cast(null AS interval day) AS x").limit(0))
 
 
+def test_nulls_of_unsupported_types_have_a_place(spark):
+    """Whatever the blocks, regions and places of such columns; a filled one is refused wherever it stands."""
+    rows = [(i, f"n{i}" * (i % 9), [{"a": i / 7, "b": {str(i): [None, i]} if i % 2 else None}] * (i % 3) if i % 5 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, s string, n array<struct<a:double,b:map<string,array<int>>>>")
+    df = df.selectExpr("i", "cast(null AS interval day) AS x", "s", "cast(null AS interval month) AS y", "n")
+    want = {fingerprint(df, "i", block, group, region) for block, group, region in ((1, 1, 10), (3, 999, 11), (16, 5_000, 13), (64, 1 << 20, 35), (1 << 16, 1 << 25, 12))}
+    pairs = lambda n: n and [{"a": x["a"], "b": x["b"] and list(x["b"].items())} for x in n]
+    assert want == {plain_fingerprint(df, [(i, None, t, None, pairs(n)) for i, t, n in rows])}
+    for bad in ("x", "y"):
+        filled = df.withColumn(bad, F.expr("interval '1' day" if bad == "x" else "interval '1' month"))
+        with pytest.raises(UnsupportedType):
+            fingerprint(filled, "i")
+
+
+def test_nested_values_are_encoded_by_arrays():
+    import time
+
+    from attestry.functions.canonical import encoded_rows
+
+    t = pa.table({"v": pa.array([[float(i + j) for j in range(64)] for i in range(20_000)])}).to_batches()[0]
+    began = time.perf_counter()
+    buffer, ends = encoded_rows(t, [T.ArrayType(T.DoubleType())])
+    assert len(buffer) == ends[-1] and time.perf_counter() - began < 3  # 20 MB
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-3, 3), min_size=1, max_size=6), st.lists(st.integers(-3, 3), min_size=1, max_size=6))
 def test_fingerprints_are_equal_for_equal_data_only(a, b):
@@ -273,6 +300,36 @@ def test_row_numbers(spark, tmp_path):
     assert df.where(f"v <> {ROW}").count() == 0 and df.count() == 100
 
 
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_row_numbers_are_those_of_the_data_given(spark, tmp_path, kind):
+    """Not those of the files below: of filtered, sorted, limited and joined data the first row is row 0."""
+    for i, n in enumerate((70, 10, 40)):
+        t = pa.table({"v": list(range(100 * i, 100 * i + n)), "w": [str(x % 7) for x in range(n)]})
+        parquet.write_table(t, tmp_path / f"part-{i}.parquet", row_group_size=17) if kind == "parquet" else arrow_csv.write_csv(t, tmp_path / f"part-{i}.csv")
+    df = spark.read.parquet(str(tmp_path)) if kind == "parquet" else spark.read.schema("v long, w string").option("header", True).csv(str(tmp_path))
+    values = [*range(70), *range(100, 110), *range(200, 240)]
+    numbered = lambda x: [r["v"] for r in with_row(x).orderBy(ROW).collect()]
+    places = lambda x: sorted(r[ROW] for r in with_row(x).collect())
+    low = df.where("v % 10 = 3")
+    for data, want in (
+        (df, values), (df.select("v"), values), (low, [v for v in values if v % 10 == 3]), (df.orderBy(F.desc("v")), values[::-1]),
+        (df.where("v >= 100").select("v", "w"), [v for v in values if v >= 100]), (low.union(low), [r["v"] for r in low.union(low).collect()]),
+        (df.orderBy("w", "v").limit(9), sorted(values, key=lambda v: (str(v % 100 % 7), v))[:9]),
+    ):
+        assert numbered(data) == want and places(data) == list(range(len(want)))
+    report = attestry.validate(df.where("v % 10 = 3"), {"columns": {"v": {"max": 200}}}, include_profile=False)
+    assert [f["row"] for f in report["findings"]] == [8, 9, 10, 11]
+
+
+def test_fingerprint_is_of_the_order_given(spark, tmp_path):
+    parquet.write_table(pa.table({"v": list(range(500))}), tmp_path / "a.parquet", row_group_size=50)
+    df = spark.read.parquet(str(tmp_path / "a.parquet"))
+    turned = df.orderBy(F.desc("v"))
+    assert fingerprint(df) != fingerprint(turned) == plain_fingerprint(df, [(v,) for v in range(499, -1, -1)])
+    assert fingerprint(df.orderBy("v")) == fingerprint(df) == plain_fingerprint(df, [(v,) for v in range(500)])
+    assert fingerprint(df.where("v >= 100")) == plain_fingerprint(df, [(v,) for v in range(100, 500)])
+
+
 def run(capsys, *args):
     cli.main(list(args))
     return json.loads(capsys.readouterr().out)
