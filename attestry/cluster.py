@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a file of a table whose size is known.
+FILE_ROWS = 50_000
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
@@ -33,11 +36,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """A folder of this application below ``spark.checkpoint.dir``; a local one only in local mode where that is unset.
+
+    On a cluster without that setting this refuses: executors don't see each other's disks.
+    """
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="attestry-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
             base = f"file://{base}"
@@ -49,9 +57,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{next(_numbers)}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage is cut, and lost executors lose nothing."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: lineage is cut, and lost executors lose nothing.
+
+    rows: that there are at most, where that is known. So few rows then go to no more files than there are cores, or
+    than hold FILE_ROWS each; without it, and beyond that, files are as many as the plan's partitions.
+    """
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -300,6 +300,27 @@ def test_row_numbers(spark, tmp_path):
     assert df.where(f"v <> {ROW}").count() == 0 and df.count() == 100
 
 
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from attestry.cluster import shared_dir
+
+    far = lambda master, base=None: SimpleNamespace(sparkContext=SimpleNamespace(applicationId=f"{master}{base}", master=master), conf=SimpleNamespace(get=lambda key, default: base))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(far(master))
+        assert shared_dir(far(master, "s3a://b/c")).startswith("s3a://b/c/attestry-")
+    assert shared_dir(far("local[4]")).startswith("file://")
+
+
+def test_written_tables_of_known_size_have_few_files(spark):
+    from attestry.cluster import written
+
+    df = spark.range(1_000).repartition(64)
+    assert len(written(df, "x").inputFiles()) == 64 and written(df, "x", 1_000).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert written(df, "x", 1_000).count() == 1_000 and len(written(df, "x", 10**9).inputFiles()) == 64
+
+
 @pytest.mark.parametrize("kind", ["parquet", "csv"])
 def test_row_numbers_are_those_of_the_data_given(spark, tmp_path, kind):
     """Not those of the files below: of filtered, sorted, limited and joined data the first row is row 0."""
