@@ -57,16 +57,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{next(_numbers)}"
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df of at most `rows` rows in no more partitions than there are cores, or than hold FILE_ROWS each, without a shuffle."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut, and lost executors lose nothing.
 
-    rows: that there are at most, where that is known. So few rows then go to no more files than there are cores, or
-    than hold FILE_ROWS each; without it, and beyond that, files are as many as the plan's partitions.
+    rows: that there are at most, where that is known; few rows then go to few files.
     """
     path = new_path(df.sparkSession, name)
-    if rows is not None:
-        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
-    df.write.parquet(path)
+    (df if rows is None else gathered(df, rows)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
