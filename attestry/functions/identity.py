@@ -52,12 +52,6 @@ def _has_map(t: T.DataType) -> bool:
     return isinstance(t, T.MapType)
 
 
-def key_struct(columns: list[tuple[str, T.DataType]], side: str = "") -> Column:
-    """One value, never null, that holds the identity of several columns."""
-    pre = f"{side}." if side else ""
-    return F.struct(*[idkey(F.col(f"{pre}`{name}`"), t).alias(f"k{i}") for i, (name, t) in enumerate(columns)])
-
-
 def ticks(c: Column, t: T.DataType) -> Column:
     """Microseconds since the epoch, whatever the session's time zone."""
     if isinstance(t, T.TimestampNTZType):
@@ -87,6 +81,25 @@ def render(c: Column, t: T.DataType) -> Column:
     return c.cast("string")
 
 
+def render_id(k: Column, t: T.DataType) -> Column:
+    """The text of a value, given its idkey."""
+    return render(value_of(k, t), t) if not isinstance(t, FLOATS) else F.when(k.getField("value") == 0, F.when(k.getField("bits").startswith("-"), "-0.0").otherwise("0.0")).otherwise(render(k.getField("value"), t))
+
+
+def value_of(k: Column, t: T.DataType) -> Column:
+    """The value that an idkey was made of; in it, zeros and NaNs may have lost their bits."""
+    if isinstance(t, FLOATS):
+        return k.getField("value")
+    if isinstance(t, T.MapType):
+        entries = T.ArrayType(T.StructType([T.StructField("key", t.keyType, False), T.StructField("value", t.valueType)]))
+        return F.map_from_entries(value_of(k, entries))
+    if not has_float(t) and not _has_map(t):
+        return k
+    if isinstance(t, T.ArrayType):
+        return F.transform(k, lambda x: value_of(x, t.elementType))
+    return F.when(k.isNotNull(), F.struct(*[value_of(k.getField(f"f{i}"), f.dataType).alias(f.name) for i, f in enumerate(t)]))
+
+
 def _time(c: Column, t: T.DataType) -> Column:
     text = F.regexp_replace(c.cast("string"), " ", "T")
     return F.concat(text, F.lit("Z")) if isinstance(t, T.TimestampType) else text

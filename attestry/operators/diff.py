@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateKey, MissingColumn, NoKeyColumns, SchemaMismatch
-from ..functions.identity import idkey, render
+from ..functions.identity import idkey, render, render_id
 
 SEPARATOR, NULL = "\u001f", "<null>"
 
@@ -40,25 +40,29 @@ class Diff:
 
     def report(self) -> dict:
         """Counts and ordered lists; the lists come to the driver, so this is for differences that fit there."""
-        rows = self.joined.where("kind <> 'same'").orderBy("key").collect()
-        n = self.counts().first()
-        return {
-            "keys": self.keys, "before_rows": n["before_rows"], "after_rows": n["after_rows"],
-            "added_count": n["added_count"], "removed_count": n["removed_count"], "changed_count": n["changed_count"],
-            "added_keys": [r["key"] for r in rows if r["kind"] == "added"], "removed_keys": [r["key"] for r in rows if r["kind"] == "removed"],
-            "changed": [{"key": r["key"], "columns": list(r["columns"])} for r in rows if r["kind"] == "changed"],
-        }
+        by: dict[str, list] = {"added": [], "removed": [], "changed": []}
+        for r in self.joined.where("kind <> 'same'").orderBy("key").collect():
+            by[r["kind"]].append({"key": r["key"], "columns": list(r["columns"])} if r["kind"] == "changed" else r["key"])
+        counts = {"before_rows": self.before.count(), "after_rows": self.after.count()} | {f"{kind}_count": len(x) for kind, x in by.items()}
+        return {"keys": self.keys, **counts, "added_keys": by["added"], "removed_keys": by["removed"], "changed": by["changed"]}
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """(key, n) of keys that several rows have."""
-    ids = [idkey(F.col(f"`{k}`"), df.schema[k].dataType).alias(f"k{i}") for i, k in enumerate(keys)]
-    return df.select(*ids, display(df, keys).alias("key")).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n > 1").select("key", "n")
+    types, names = [df.schema[k].dataType for k in keys], [f"k{i}" for i in range(len(keys))]
+    ids = df.select(*[idkey(F.col(f"`{k}`"), t).alias(n) for k, t, n in zip(keys, types, names, strict=True)])
+    twice = ids.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # keys are shown after they have been counted, so that the buffers hold numbers only
+    return twice.select(_shown([render_id(F.col(n), t) for n, t in zip(names, types, strict=True)]).alias("key"), "n")
 
 
 def display(df: DataFrame, keys: list[str], side: str = "") -> Column:
     pre = f"{side}." if side else ""
-    return F.concat_ws(SEPARATOR, *[F.coalesce(render(F.col(f"{pre}`{k}`"), df.schema[k].dataType), F.lit(NULL)) for k in keys])
+    return _shown([render(F.col(f"{pre}`{k}`"), df.schema[k].dataType) for k in keys])
+
+
+def _shown(texts: list[Column]) -> Column:
+    return F.concat_ws(SEPARATOR, *[F.coalesce(t, F.lit(NULL)) for t in texts])
 
 
 def checked_keys(before: DataFrame, after: DataFrame, keys) -> list[str]:

@@ -84,7 +84,7 @@ def samples(train: DataFrame, test: DataFrame, keys: list[str], most: int) -> li
 
 def detect(train: DataFrame, test: DataFrame, keys=None, max_samples: int = 20) -> dict:
     if max_samples < 0:
-        raise ValueError("max_samples must be non-negative")
+        raise ValueError(f"max_samples is {max_samples}; no fewer than 0 can be shown")
     keys = [] if keys is None else [keys] if isinstance(keys, str) else list(keys)
     n = summary(train, test, keys).first()
     shown = samples(train, test, keys, max_samples) if n["overlap_count"] and max_samples else []

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..cluster import ship
 from ..functions.identity import FLOATS, INTEGERS, render
-from ..functions.pii import classified
+from ..functions.pii import KINDS, classified
 from ..sources.order import ROW, with_row
 
 DOMAIN = b"attestry:privacy:v1\0"
@@ -22,16 +21,19 @@ def scanned(df: DataFrame) -> list[tuple[int, T.StructField]]:
     return [(i, f) for i, f in enumerate(df.schema) if not isinstance(f.dataType, NEVER)]
 
 
-def cells(df: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """kind, confidence, column, col (and `extra` columns, and the cell's text) of each cell that is personal data."""
+def found_in(df: DataFrame) -> Column:
+    """A row's cells that are personal data: an array of col, column, kind, confidence and text."""
     found = []
     for i, f in scanned(df):
         text = render(F.col(f"`{f.name}`"), f.dataType)
         hit = classified(text, F.lit(isinstance(f.dataType, INTEGERS)))
         found.append(F.when(hit.isNotNull(), F.struct(F.lit(i).alias("col"), F.lit(f.name).alias("column"), hit.getField("kind").alias("kind"), hit.getField("confidence").alias("confidence"), text.alias("text"))))
-    if not found:
-        return df.select(*extra, F.lit(0).alias("col"), F.lit("").alias("column"), F.lit("").alias("kind"), F.lit("").alias("confidence"), F.lit("").alias("text")).where(F.lit(False))
-    return df.select(*extra, F.explode(F.array_compact(F.array(*found))).alias("c")).select(*extra, "c.*")
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<col:int,column:string,kind:string,confidence:string,text:string>>")
+
+
+def cells(df: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """kind, confidence, column, col (and `extra` columns, and the cell's text) of each cell that is personal data."""
+    return df.select(*extra, F.explode(found_in(df)).alias("c")).select(*extra, "c.*")
 
 
 def counts_by_kind(df: DataFrame) -> DataFrame:
@@ -45,9 +47,13 @@ def privacy_fingerprints(texts: list[str]) -> list[str]:
 
 
 def scan(df: DataFrame, max_findings: int = 100, row=None) -> dict:
+    """The report; one pass counts rows and kinds, another seeks the first findings, if there are any."""
     if max_findings < 0:
-        raise ValueError("max_findings must be non-negative")
-    kinds = {r["kind"]: r["n"] for r in counts_by_kind(df).collect()}
+        raise ValueError(f"max_findings is {max_findings}; no fewer than 0 can be kept")
+    of = lambda kind: lambda cell: cell.getField("kind") == kind
+    rows = df.select(found_in(df).alias("found"))
+    seen = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(F.size(F.filter("found", of(k)))), F.lit(0)).alias(k) for k in KINDS]).first()
+    kinds = {k: seen[k] for k in sorted(KINDS) if seen[k]}
     total, kept = sum(kinds.values()), []
     if total and max_findings:
         ship(df.sparkSession)
@@ -56,7 +62,7 @@ def scan(df: DataFrame, max_findings: int = 100, row=None) -> dict:
         top = cells(with_row(df, row), [ROW]).orderBy(ROW, "col").limit(max_findings)
         rows = top.withColumn("value_fingerprint", hashed("text")).drop("text").orderBy(ROW, "col").collect()
         kept = [{"kind": r["kind"], "confidence": r["confidence"], "column": r["column"], "row": r[ROW], "value_fingerprint": r["value_fingerprint"]} for r in rows]
-    return {"detected": total > 0, "scanned_rows": df.count(), "finding_count": total, "counts_by_kind": dict(sorted(kinds.items())), "truncated": total > len(kept), "findings": kept}
+    return {"detected": total > 0, "scanned_rows": seen["rows"], "finding_count": total, "counts_by_kind": kinds, "truncated": total > len(kept), "findings": kept}
 
 
 def tokens(df: DataFrame, column: str, keep: list[str]) -> DataFrame:

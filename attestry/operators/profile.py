@@ -48,10 +48,14 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return reduce(DataFrame.unionByName, each)
 
 
-def profile_table(df: DataFrame, distinct: str = "exact") -> DataFrame:
-    """name, data_type, null_count, non_null_count, distinct_count, min, max: a row for each column."""
+def _known(distinct: str) -> None:
     if distinct not in DISTINCT:
         raise ValueError(f"distinct is one of {', '.join(DISTINCT)}, not {distinct!r}")
+
+
+def profile_table(df: DataFrame, distinct: str = "exact") -> DataFrame:
+    """name, data_type, null_count, non_null_count, distinct_count, min, max: a row for each column."""
+    _known(distinct)
     parts = []
     for i, f in enumerate(df.schema):
         ranged = number(F.col(f"`{f.name}`"), f.dataType) is not None
@@ -71,8 +75,7 @@ def profile(df: DataFrame, distinct: str = "exact", row=None, fingerprint: bool
     """The report: rows, columns, fingerprint. Ranges that aren't finite are None."""
     from .fingerprint import fingerprint as digest
 
-    if distinct not in DISTINCT:
-        raise ValueError(f"distinct is one of {', '.join(DISTINCT)}, not {distinct!r}")
+    _known(distinct)
     if not df.columns:
         return {"rows": df.count(), "columns": [], "fingerprint": digest(df, row) if fingerprint else None}
     stats = statistics(df).first().asDict()

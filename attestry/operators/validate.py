@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ from ..plans.contract import RULES, Contract, parse
 from ..sources.order import ROW, with_row
 from .profile import profile
 
+#: Allowed values beyond which a list is joined, not written into the plan. A list is part of its contract, and on the driver.
+LISTED = 200
 SCHEMA = "row long, col int, rule int, column string, name string, value string"
 
 
@@ -26,6 +29,20 @@ def present(df: DataFrame, contract: Contract) -> list[tuple[int, T.StructField]
     return [(i, f) for i, f in enumerate(df.schema) if f.name in contract.columns]
 
 
+def marked(df: DataFrame, contract: Contract) -> DataFrame:
+    """df with a column for each rule with a long list of allowed values: not null where the value is in the list."""
+    for i, f in present(df, contract):
+        allowed = contract.columns[f.name].allowed
+        if allowed is not None and len(allowed) > LISTED and _mark(i) not in df.columns:
+            values = df.sparkSession.createDataFrame(pd.DataFrame({_mark(i): sorted(allowed)}), f"{_mark(i)} string")
+            df = df.join(F.broadcast(values), render(F.col(f"`{f.name}`"), f.dataType) == F.col(_mark(i)), "left")
+    return df
+
+
+def _mark(i: int) -> str:
+    return f"__allowed_{i}"
+
+
 def predicates(df: DataFrame, contract: Contract) -> list[tuple[int, str, int, Column]]:
     """(column's place, column, rule's place, condition of a violation) of the rules that look at one cell."""
     out, spark = [], df.sparkSession
@@ -46,18 +63,22 @@ def predicates(df: DataFrame, contract: Contract) -> list[tuple[int, str, int, C
             out.append((i, f.name, 5, ~render(c, f.dataType).rlike(checked(spark, rules.pattern))))
         if rules.allowed is not None:
             text = render(c, f.dataType)
-            out.append((i, f.name, 6, ~text.isin(*sorted(rules.allowed)) if rules.allowed else text.isNotNull()))
+            if _mark(i) in df.columns:
+                out.append((i, f.name, 6, text.isNotNull() & F.col(_mark(i)).isNull()))
+            else:
+                out.append((i, f.name, 6, ~text.isin(*sorted(rules.allowed)) if rules.allowed else text.isNotNull()))
     return out
 
 
 def counts(df: DataFrame, contract: Contract) -> tuple[int, dict[tuple[int, int], int]]:
     """The number of rows, and of violations by (column's place, rule's place)."""
+    given, df = df, marked(df, contract)
     local = predicates(df, contract)
     row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(cond).alias(f"{i}:{r}") for i, _, r, cond in local]).first()
     found = {(i, r): row[f"{i}:{r}"] for i, _, r, _ in local}
-    unique = [(i, f) for i, f in present(df, contract) if contract.columns[f.name].unique]
+    unique = [(i, f) for i, f in present(given, contract) if contract.columns[f.name].unique]
     if unique:
-        found |= {(r["i"], 2): r["n"] for r in reduce(DataFrame.unionByName, [repeated_count(df, i, f) for i, f in unique]).collect()}
+        found |= {(r["i"], 2): r["n"] for r in reduce(DataFrame.unionByName, [repeated_count(given, i, f) for i, f in unique]).collect()}
     return row["rows"], found
 
 
@@ -78,15 +99,15 @@ def repeats(df: DataFrame, name: str) -> DataFrame:
 def findings(df: DataFrame, contract: Contract, found: dict[tuple[int, int], int] | None = None) -> DataFrame:
     """Every violation that has a row: row, col, rule, column, name, value; df has ROW. Messages come later, for few."""
     wanted = lambda i, r: found is None or found.get((i, r), 0) > 0
-    parts = []
+    parts, given, df = [], df, marked(df, contract)
     local = [x for x in predicates(df, contract) if wanted(x[0], x[2])]
     if local:
         at = [F.when(cond, F.struct(F.lit(i).alias("col"), F.lit(r).alias("rule"), F.lit(c).alias("column"), F.lit(RULES[r]).alias("name"), render(F.col(f"`{c}`"), df.schema[c].dataType).alias("value"))) for i, c, r, cond in local]
         hits = df.where(reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for *_, c in local])).select(F.col(ROW).alias("row"), F.explode(F.filter(F.array(*at), lambda x: x.isNotNull())).alias("v"))
         parts.append(hits.select("row", "v.*"))
-    for i, f in present(df, contract):
+    for i, f in present(given, contract):
         if contract.columns[f.name].unique and wanted(i, 2):
-            parts.append(repeats(df, f.name).select(F.col(ROW).alias("row"), F.lit(i).alias("col"), F.lit(2).alias("rule"), F.lit(f.name).alias("column"), F.lit("unique").alias("name"), render(F.col(f"`{f.name}`"), f.dataType).alias("value")))
+            parts.append(repeats(given, f.name).select(F.col(ROW).alias("row"), F.lit(i).alias("col"), F.lit(2).alias("rule"), F.lit(f.name).alias("column"), F.lit("unique").alias("name"), render(F.col(f"`{f.name}`"), f.dataType).alias("value")))
     return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], SCHEMA)
 
 
@@ -95,6 +116,7 @@ def shown(x: float) -> str:
     return str(int(x)) if x == int(x) else repr(x)
 
 
+# The texts of findings, which reports have to share.
 def message(contract: Contract, column: str, rule: str, value: str | None, values: bool) -> str:
     rules = contract.columns[column]
     if rule == "required":
@@ -133,8 +155,8 @@ def validation_table(df: DataFrame, contract) -> DataFrame:
     """The report's head as a one-row DataFrame, without a job on the way: valid, violation_count, rows."""
     contract = parse(contract)
     missing = sum(rules.required and name not in df.columns for name, rules in contract.columns.items())
-    local = predicates(df, contract)
-    out = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(cond).alias(f"x{k}") for k, (*_, cond) in enumerate(local)])
+    local = predicates(listed := marked(df, contract), contract)
+    out = listed.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(cond).alias(f"x{k}") for k, (*_, cond) in enumerate(local)])
     total = reduce(Column.__add__, [F.col(f"x{k}") for k in range(len(local))], F.lit(missing).cast("long"))
     parts = [out.select("rows", total.alias("violation_count"))]
     for i, f in present(df, contract):

@@ -8,7 +8,6 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Cells of a CSV file that mean null.
 CSV_NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null")
@@ -77,7 +76,3 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         kind = next((k for k in ("long", "double", "boolean", "date", "timestamp_ntz") if fits[f"{i}:{k}"]), None)
         out.append(F.col(f"`{c}`").cast(kind).alias(c) if kind else F.col(f"`{c}`"))
     return clean.select(out)
-
-
-def schema_of(df: DataFrame) -> list[tuple[str, T.DataType]]:
-    return [(f.name, f.dataType) for f in df.schema]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.validate import findings, predicates
+from ..operators.validate import findings, marked, predicates
 from ..plans.contract import RULES, parse
 from ..sources.order import ROW
 
@@ -25,6 +25,7 @@ def violations(stream: DataFrame, contract, row: str) -> DataFrame:
 def counts(stream: DataFrame, contract) -> DataFrame:
     """(column, rule, n): running counts of violations, one row of state for each rule."""
     contract = parse(contract)
+    stream = marked(stream, contract)
     local = predicates(stream, contract)
     hit = F.filter(F.array(*[F.when(cond, F.struct(F.lit(c).alias("column"), F.lit(RULES[r]).alias("rule"))) for _, c, r, cond in local]), lambda x: x.isNotNull())
     return stream.select(F.explode(hit).alias("v")).select("v.*").groupBy("column", "rule").agg(F.count(F.lit(1)).alias("n"))

@@ -185,6 +185,27 @@ def test_patterns_and_lists():
     assert r["findings"][2]["message"] == "Value `c@x.com` does not match `^[ab]@`"
 
 
+def test_long_lists_are_joined(spark):
+    values = [f"v{i}" for i in range(0, 3_000, 2)]
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(1_000)] + [(1_000, None)], "i long, s string")
+    contract = {"columns": {"s": {"allowed": values, "unique": True}, "i": {"allowed": [str(i) for i in range(999)]}}, "max_findings": 1_000}
+    r = attestry.validate(df, contract, include_profile=False, row="i")
+    assert r["violation_count"] == 502 and [f["row"] for f in r["findings"]] == [*range(1, 998, 2), 999, 999, 1_000]
+    from attestry.operators.validate import validation_table
+
+    assert validation_table(df, contract).first()["violation_count"] == 502
+
+
+def test_duplicate_keys_are_counted_by_numbers_and_shown_after(spark):
+    from attestry.operators.diff import duplicate_keys
+
+    df = spark.sql("SELECT explode(array(0.0D, -0.0D, -0.0D, double('NaN'), double('NaN'), 1.5D, 1.5D, null, null, 7.0D)) AS x, array(0.0D, -0.0D) AS y, named_struct('a', 1, 'b', -0.0D) AS z")
+    twice = duplicate_keys(df, ["x"])
+    assert sorted(map(tuple, twice.collect())) == [("-0.0", 2), ("1.5", 2), ("<null>", 2), ("NaN", 2)]
+    assert "SortAggregate" not in twice._jdf.queryExecution().toString()
+    assert duplicate_keys(df, ["y", "z"]).first()["n"] == 10
+
+
 def test_diff_shows_changed_columns():
     after = pa.table({"id": [1, 2, 4], "email": ["a@x.com", "z@x.com", "d@x.com"], "score": [0.9, 0.4, 0.1]})
     r = attestry.diff(USERS, after, keys="id")
