@@ -19,7 +19,7 @@ from ..operators import validate as V
 from ..operators.fingerprint import fingerprint_table
 from ..operators.profile import profile_table
 from ..plans.contract import parse
-from ..sources.order import ROW
+from ..sources.order import ROW, with_row
 
 FLAGSHIP = "validate_orders"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,6 +164,68 @@ def validate_report_fast(spark, d):
     return spark.createDataFrame([(r["mode"], r["rows"], len(r["findings"]), r["truncated"], r["violation_count"])], "mode string, rows long, kept int, truncated boolean, violation_count long")
 
 
+_ALL = _TOP.replace("UNION ALL SELECT o_orderkey, 5", """UNION ALL SELECT NULL, -1, 'missing', 0, 'required', NULL
+  UNION ALL SELECT o_orderkey, 3, 'o_totalprice', CASE WHEN o_totalprice < 1000 THEN 3 ELSE 4 END, CASE WHEN o_totalprice < 1000 THEN 'min' ELSE 'max' END, o_totalprice::VARCHAR FROM orders WHERE o_totalprice < 1000 OR o_totalprice > 450000
+  UNION ALL SELECT o_orderkey, 5""", 1)
+_MESSAGE = "CASE r WHEN 0 THEN 'Required column `missing` is missing' WHEN 2 THEN 'Duplicate value `' || value || '`' WHEN 3 THEN 'Value `' || value || '` is below 1000' WHEN 4 THEN 'Value `' || value || '` is above 450000' WHEN 6 THEN 'Value `' || value || '` is not in the allowlist' ELSE 'Value `' || value || '` does not match `^[1-3]-`' END"
+
+
+def _evidence(spark: SparkSession, report: dict) -> DataFrame:
+    rows = [(i, f["row"], f["column"], f["rule"], f["message"], report["violation_count"], report["valid"], report["truncated"]) for i, f in enumerate(report["findings"])]
+    return spark.createDataFrame(rows, "place int, row long, column string, rule string, message string, violation_count long, valid boolean, truncated boolean")
+
+
+@query("validate_report_full", _ALL + f", n AS ({_COUNTS}) SELECT (row_number() OVER (ORDER BY f.\"row\" NULLS FIRST, col, r) - 1)::INT AS place, f.\"row\", \"column\", rule, {_MESSAGE} AS message, violation_count::BIGINT AS violation_count, false AS valid, true AS truncated FROM f, n QUALIFY place < 100")
+def validate_report_full(spark, d):
+    """The whole report, profile and all: its evidence in order, several rules for a cell included; rows are the files' own."""
+    report = V.validate(table(spark, d, "orders"), CONTRACT)
+    assert report["profile"]["rows"] == table(spark, d, "orders").count()
+    return _evidence(spark, report)
+
+
+_CELL = {"columns": {"p_brand": {"pattern": "^Brand#[1-3]$", "allowed": ["Brand#1", "Brand#5"], "unique": True}}, "max_findings": 200}
+
+
+@query("validate_rules_of_a_cell", """
+WITH p AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+f AS (SELECT p_partkey AS "row", 2 AS r, 'unique' AS rule, 'Duplicate value detected' AS message FROM p WHERE i > 1
+  UNION ALL SELECT p_partkey, 5, 'pattern', 'Value does not match the required pattern' FROM p WHERE NOT regexp_matches(p_brand, '^Brand#[1-3]$')
+  UNION ALL SELECT p_partkey, 6, 'allowed', 'Value is not in the allowlist' FROM p WHERE p_brand NOT IN ('Brand#1', 'Brand#5'))
+SELECT (row_number() OVER (ORDER BY "row", r) - 1)::INT AS place, "row", 'p_brand' AS "column", rule, message, (SELECT count(*) FROM f) AS violation_count, false AS valid, true AS truncated FROM f QUALIFY place < 200""")
+def validate_rules_of_a_cell(spark, d):
+    """Up to three findings of one cell, in the rules' order."""
+    return _evidence(spark, V.validate(table(spark, d, "part"), _CELL, include_profile=False))
+
+
+_KEPT = 'SELECT row_number() OVER (ORDER BY {key}) - 1 AS "row", {value} FROM orders WHERE o_orderkey % 10 = 3'
+
+
+@query("rule_min_filtered", f"SELECT \"row\", 'o_custkey' AS \"column\", 'min' AS rule, o_custkey::VARCHAR AS value FROM ({_KEPT.format(key='o_orderkey', value='o_custkey')}) WHERE o_custkey < 100.5")
+def rule_min_filtered(spark, d):
+    """Rows are numbered in the data given, which are filtered, and no column numbers them."""
+    return _first_rows(table(spark, d, "orders").where("o_orderkey % 10 = 3"), {"o_custkey": {"min": 100.5}})
+
+
+@query("rule_min_sorted", f"SELECT \"row\", 'o_custkey' AS \"column\", 'min' AS rule, o_custkey::VARCHAR AS value FROM ({_KEPT.format(key='o_orderkey DESC', value='o_custkey')}) WHERE o_custkey < 100.5")
+def rule_min_sorted(spark, d):
+    return _first_rows(table(spark, d, "orders").where("o_orderkey % 10 = 3").orderBy(F.desc("o_orderkey")), {"o_custkey": {"min": 100.5}})
+
+
+def _first_rows(df: DataFrame, columns: dict) -> DataFrame:
+    return V.findings(with_row(df), parse({"columns": columns})).select("row", "column", F.col("name").alias("rule"), "value")
+
+
+@query("profile_csv", "SELECT name, data_type, null_count, non_null_count, distinct_count, min, max FROM (" + _profile_sql("customer", True).replace("'Int32'", "'Int64'") + ")")
+def profile_csv(spark, d):
+    """The customers, written as CSV and read again: types are inferred, whole numbers are of 64 bits."""
+    from ..cluster import new_path
+    from ..sources.inputs import read
+
+    path = new_path(spark, "customers") + ".csv"
+    table(spark, d, "customer").write.csv(path, header=True)
+    return profile_table(read(spark, path))
+
+
 # Differences
 
 _BEFORE, _AFTER = "SELECT * FROM orders WHERE o_orderkey % 10 <> 0", "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, CASE WHEN o_orderkey % 26 = 0 THEN 'x' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 11 <> 0"
@@ -279,6 +341,17 @@ def pii_dates_as_phones(spark, d):
     return P.cells(df).groupBy("kind", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CARDS = f"SELECT o_orderkey AS \"row\" FROM (SELECT o_orderkey, (4111111111111111 + o_orderkey)::VARCHAR AS d FROM orders) WHERE {_LUHN}"
+
+
+@query("pii_report", f"SELECT (row_number() OVER (ORDER BY \"row\") - 1)::INT AS place, \"row\", 'card' AS \"column\", 'payment_card' AS kind, 'low' AS confidence, (SELECT count(*) FROM orders) AS scanned_rows, (SELECT count(*) FROM ({_CARDS})) AS finding_count, (SELECT count(*) FROM ({_CARDS})) AS payment_cards, true AS detected, true AS truncated FROM ({_CARDS}) QUALIFY place < 25")
+def pii_report(spark, d):
+    """The report's first 25 findings, which is the feature, and its counts; what was found is shown as a fingerprint only."""
+    report = P.scan(table(spark, d, "orders").select(F.expr("4111111111111111 + o_orderkey AS card")), 25)
+    rows = [(i, f["row"], f["column"], f["kind"], f["confidence"], report["scanned_rows"], report["finding_count"], report["counts_by_kind"]["payment_card"], report["detected"], report["truncated"]) for i, f in enumerate(report["findings"])]
+    return spark.createDataFrame(rows, "place int, row long, column string, kind string, confidence string, scanned_rows long, finding_count long, payment_cards long, detected boolean, truncated boolean")
+
+
 _SAMPLES = {"a@b.co": "email", " person@example.com ": "email", "1.2.3.4": "ipv4", "256.1.1.1": None, "GB82WEST12345698765432": "iban", "GB82 WEST 1234 5698 7654 32": "iban", "GB83WEST12345698765432": None, "4111 1111 1111 1111": "payment_card", "4111111111111112": None, "0000000000000": "payment_card", "+1 (555) 010-9999": "phone", "2024-01-31": "phone", "hello": None, "": None}
 
 
@@ -309,6 +382,29 @@ def receipt_roundtrip(spark, d):
     return spark.createDataFrame([(v["valid"], v["signature_valid"], v["report_hash_matches"], v["schema_supported"])], "valid boolean, signature_valid boolean, report_hash_matches boolean, schema_supported boolean")
 
 
+@query("receipt_tampered", "SELECT 'report' AS tampered, false AS valid, false AS signature_valid, false AS report_hash_matches, true AS schema_supported UNION ALL SELECT 'issued_at_unix_ms', false, false, true, true UNION ALL SELECT 'schema', false, false, true, false UNION ALL SELECT 'public_key', false, false, true, true UNION ALL SELECT 'signature', false, false, true, true")
+def receipt_tampered(spark, d):
+    """A receipt with one field changed after it was signed."""
+    from ..receipts import generate_keypair, sign_receipt, verify_receipt
+
+    report = V.validate(table(spark, d, "orders"), CONTRACT, include_profile=False, row="o_orderkey")
+    receipt = sign_receipt(report, private_key=generate_keypair()["private_key"])
+    other = sign_receipt({"x": 1}, private_key=generate_keypair()["private_key"])
+    changes = {"report": report | {"valid": True}, "issued_at_unix_ms": 1, "schema": "another", "public_key": other["public_key"], "signature": other["signature"]}
+    seen = [(k, verify_receipt(receipt | {k: v})) for k, v in changes.items()]
+    return spark.createDataFrame([(k, v["valid"], v["signature_valid"], v["report_hash_matches"], v["schema_supported"]) for k, v in seen], "tampered string, valid boolean, signature_valid boolean, report_hash_matches boolean, schema_supported boolean")
+
+
+@query("fingerprint_of_order", "SELECT false AS equal_when_turned, true AS equal_when_sorted, false AS equal_when_filtered")
+def fingerprint_of_order(spark, d):
+    """Fingerprints are of the order given."""
+    from ..operators.fingerprint import fingerprint
+
+    c = table(spark, d, "customer")
+    same = lambda df: fingerprint(df) == fingerprint(c)
+    return spark.createDataFrame([(same(c.orderBy(F.desc("c_custkey"))), same(c.orderBy("c_custkey")), same(c.where("c_custkey > 0")))], "equal_when_turned boolean, equal_when_sorted boolean, equal_when_filtered boolean")
+
+
 @query("stream_rule_counts", "SELECT 'o_orderstatus' AS \"column\", 'allowed' AS rule, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'o_totalprice', 'max', count(*) FROM orders WHERE o_totalprice > 450000 HAVING count(*) > 0")
 def stream_rule_counts(spark, d):
     """Findings of a stream over the table's files, written as they arrive, then counted."""
