@@ -50,3 +50,32 @@ def test_sql_agrees(spark, sample):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sample}/embeddings.parquet'")
     want = {(q, r, v, round(s, 9)) for q, r, v, s in con.sql(N.SQL).fetchall()}
     assert {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in N.op5(spark, sample).collect()} == want
+
+
+def test_clustered_vectors_travel_little(spark):
+    """Cells beyond a query's bound aren't visited, and nothing is lost by that."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 6)) * 100
+    rows = [(i, (centres[i % 30] + rng.normal(size=6)).astype(np.float32).tolist()) for i in range(3_000)]
+    got, n = run(spark, rows, blocks=(2, 60))
+    assert got == plain(rows) and n == len(got)
+    cells = N.Cells([v for _, v in rows[:60]])
+    x = __import__("pandas").Series([np.array(v, float) for _, v in rows])
+    own, far = cells.placed(x)
+    radius = {int(c): float(far[own == c].max()) for c in np.unique(own)}
+    i, _ = cells.reached(x, own, np.full(len(x), 8.0), radius)
+    assert len(i) < 4 * len(x)
+
+
+def test_repeated_ids_take_part_each_for_itself(spark):
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(100, rows[7][1]), (100, rows[100][1]), (5, rows[8][1]), (5, rows[5][1]), (9, rows[8][1])]
+    embeddings = __import__("pandas").DataFrame(rows, columns=["vec_id", "embedding"])  # noqa: F841
+    want = sorted((q, r, round(s, 6)) for q, r, _, s in duckdb.sql(N.SQL).fetchall())
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for blocks in (None, (2, 11)):
+        got = N.nearest(df.where("vec_id % 100 = 0"), df, blocks=blocks).collect()
+        assert sorted((r["query_id"], r["rank"], round(r["score"], 6)) for r in got) == want
