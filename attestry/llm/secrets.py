@@ -6,8 +6,9 @@ ordinary language of that length would show, and the shares of capitals, small l
 serial correlation must not contradict randomness. The resulting p-values of all candidates of the corpus, weighted by length, go through the
 Benjamini-Hochberg procedure: only a histogram of them, of fixed size, is gathered.
 
-Defined results: a null text counts as empty and has no spans; texts are scanned whole; offsets are code points;
-repeated rows are scanned each for itself; other columns are ignored (the stage keeps them).
+Defined results: a null text counts as empty and has no spans; texts are scanned whole, however long; offsets are code
+points; of p-values on the threshold all are discoveries; repeated rows are scanned each for itself, and count each among
+the candidates; an empty table gives an empty result; other columns are ignored (the stage keeps them).
 """
 
 from __future__ import annotations

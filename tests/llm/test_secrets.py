@@ -81,3 +81,71 @@ def test_stage_masks_secrets_and_keeps_documents(docs, spark):
     out = {r["doc_id"]: r for r in S.stage(spark, df, "").collect()}
     assert S.stage(spark, df, "").columns == df.columns
     assert out[1]["text"] == "a token: [SECRET] b" and out[1]["n_chars"] == 19 and out[2]["text"] is None and out[3]["text"] == "clean" and out[4]["text"] == "token=[SECRET]!"
+
+
+def plain_battery(token):
+    """The tests one by one, from their formulas."""
+    import math
+
+    core = token.rstrip("=").translate(str.maketrans("-_", "+/"))
+    lower, upper, digit = (sum(f(c) for c in core) for f in (str.islower, str.isupper, str.isdigit))
+    letters = set(core) - set("0123456789")
+    if letters <= set("abcdef") or letters <= set("ABCDEF"):
+        name, core, kinds, sizes = "hex", core.lower(), (len(core) - digit, digit), (6, 10)
+    elif set(core) <= set("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        name, kinds, sizes = "base32", (len(core) - digit, digit), (26, 6)
+    elif core.isalnum() and not (lower and upper):
+        name, core, kinds, sizes = "alnum", core.lower(), (len(core) - digit, digit), (26, 10)
+    else:
+        name, kinds, sizes = "base64", (upper, lower, digit), (26, 26, 10)
+    alphabet = S._ALPHABETS[name]
+    n, k = len(core), len(alphabet)
+    if n < 16 or any(c not in alphabet for c in core) or not sum(kinds):
+        return 1.0
+    normal = lambda z: (1 + math.erf(z / math.sqrt(2))) / 2
+    expected = [sum(kinds) * s / sum(sizes) for s in sizes]
+    x = sum((o - e) ** 2 / e for o, e in zip(kinds, expected, strict=True))
+    if (math.exp(-x / 2) if len(kinds) == 3 else 2 * (1 - normal(math.sqrt(x)))) < S.CONTRADICTS:
+        return 1.0
+    chi = sum((core.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    shift = n * (k * (0.12 if name == "hex" else 0.0667) - 1)
+    p = normal((chi - (k - 1 + shift)) / math.sqrt(2 * (k - 1 + 2 * shift)))
+    high = [alphabet.index(c) >= k // 2 for c in core]
+    a, b = high.count(True), high.count(False)
+    if not a or not b:
+        return 1.0
+    runs = 1 + sum(high[i] != high[i - 1] for i in range(1, n))
+    mean, var = 1 + 2 * a * b / n, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+    if var <= 0 or 2 * normal(-abs(runs - mean) / math.sqrt(var)) < S.CONTRADICTS:
+        return 1.0
+    v = [alphabet.index(c) for c in core]
+    m = sum(v) / n
+    r = sum((v[i] - m) * (v[i + 1] - m) for i in range(n - 1)) / sum((y - m) ** 2 for y in v)
+    return 1.0 if 2 * normal(-abs(r) * math.sqrt(n)) < S.CONTRADICTS else max(p, 1e-39)
+
+
+def test_battery_is_that_of_the_formulas():
+    rng = random.Random(21)
+    seen = 0
+    for _ in range(2_000):
+        n = rng.randint(10, 80)
+        t = rng.choice([lambda: "".join(rng.choices(S._ALPHABETS[rng.choice(list(S._ALPHABETS))], k=n)), lambda: language(rng, n), lambda: "".join(rng.choices("abcdef0123456789", k=n)).upper(), lambda: "".join(rng.choices("aB3+/-_", k=n)) + "=="])()
+        got, want = S.battery(t), plain_battery(t)
+        assert abs(got - want) <= 1e-6 * max(got, want) + 1e-12, (t, got, want)
+        seen += 1e-30 < got < 1
+    assert seen > 300
+
+
+def test_threshold_is_the_weighted_step_up_rule(docs):
+    """Benjamini and Hochberg's rule over all candidates, at the borders of the histogram's bins: the same discoveries."""
+    rng = random.Random(22)
+    for share in (0.0, 0.05, 0.6):
+        rows = [(i, " ".join("".join(rng.choices(S._ALPHABETS["base64"][:62], k=rng.randint(20, 60))) if rng.random() < share else language(rng, rng.randint(20, 50)) for _ in range(8))) for i in range(60)]
+        found = [(plain_battery(t) / min(3.0, len(t) / 32), min(3.0, len(t) / 32)) for _, text in rows for t in text.split()]
+        total = sum(w for _, w in found)
+        bounds = [10 ** (-b * S.STEP) for b in range(1, S.BINS)]
+        near = lambda bound, slack: sum(p <= bound * (1 + slack) for p, _ in found)
+        want = {max((x for x in bounds if x * total <= S.RATE * near(x, slack)), default=0.0) for slack in (-1e-9, 1e-9)}
+        got = S.threshold(docs(rows))
+        assert near(got, 1e-9) in {near(x, slack) for x in want for slack in (-1e-9, 1e-9)}, (share, got, want)
+        assert (share == 0) == (near(got, 1e-9) < 3)
