@@ -58,8 +58,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def gathered(df: DataFrame, rows: int) -> DataFrame:
-    """df of at most `rows` rows in no more partitions than there are cores, or than hold FILE_ROWS each, without a shuffle."""
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    """df of at most `rows` rows, the result of a shuffle, in a number of partitions that befits it.
+
+    Adaptive execution sees to that by itself. Where it may not, few rows go through one more shuffle, to as many
+    partitions as there are cores, or as hold FILE_ROWS each: a task that took over several partitions of the plan
+    would hold the memory of all their sorts until it ends.
+    """
+    spark = df.sparkSession
+    adaptive = all(spark.conf.get(f"spark.sql.adaptive.{x}enabled") == "true" for x in ("", "coalescePartitions."))
+    n = max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+    return df if adaptive or int(spark.conf.get("spark.sql.shuffle.partitions")) <= 2 * n else df.repartition(n)
 
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:

@@ -337,9 +337,17 @@ def test_no_local_folder_on_a_cluster():
 def test_written_tables_of_known_size_have_few_files(spark):
     from attestry.cluster import written
 
-    df = spark.range(1_000).repartition(64)
-    assert len(written(df, "x").inputFiles()) == 64 and written(df, "x", 1_000).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
-    assert written(df, "x", 1_000).count() == 1_000 and len(written(df, "x", 10**9).inputFiles()) == 64
+    df = spark.range(10_000).groupBy((F.col("id") % 1_000).alias("k")).count()
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        assert len(written(df, "x", 1_000).inputFiles()) <= spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        few, many = written(df, "x", 1_000), written(df, "x", 10**9)
+        assert few.count() == many.count() == 1_000 and len(few.inputFiles()) <= spark.sparkContext.defaultParallelism < len(many.inputFiles()) == 64
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("kind", ["parquet", "csv"])
