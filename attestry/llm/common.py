@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import new_path, remove_shared, shared_dir, ship, written
+from ..cluster import gathered, new_path, remove_shared, shared_dir, ship, written
 
-__all__ = ["exists", "flagged", "key_bitmap", "maybe_in", "new_path", "partitions", "parts", "prepare", "release", "remove_shared", "shared_dir", "ship", "table", "tokenizer_path", "written"]
+__all__ = ["exists", "flagged", "gathered", "key_bitmap", "maybe_in", "new_path", "partitions", "parts", "prepare", "release", "remove_shared", "shared_dir", "ship", "table", "tokenizer_path", "written"]
 
 #: Positions of a key bitmap: 2 MB in all, whatever the input's size.
 BITMAP_BITS = 24
@@ -89,7 +89,7 @@ def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = BITMAP_BITS
 
 def parts(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be among keys' column of that name, the others). Rows of the second part need no shuffle."""
-    both = flagged(df, key, written(key_bitmap(keys, key, bits), "bitmap"), "_maybe", bits)
+    both = flagged(df, key, written(key_bitmap(keys, key, bits), "bitmap", 1 << max(0, bits - 15)), "_maybe", bits)
     return both.where("_maybe").drop("_maybe"), both.where("NOT _maybe").drop("_maybe")
 
 

@@ -31,8 +31,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    # a store is closed with its task: the memory of the others' doesn't add up
-    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    # one small file for each store and batch, instead of a copy of the store
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 #: Places of a run: 2**23 files of 2**33 rows, for 128 runs over one state.
 RUN = 56
@@ -98,19 +98,20 @@ def decided(docs: DataFrame, digest: Callable[[Column], Column] = sha256, at: st
     at = at or common.new_path(docs.sparkSession, "exact")
     content = taken_in(docs, at, digest)
     rows = content.select("id", "place", "digest")
-    if rows.isEmpty():
+    n = rows.count()
+    if not n:
         return rows.select(F.col("id").alias("doc_id"), "place", "digest", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept")), content
-    shared = common.written(run_state(content, at).where("n > 1"), "shared")
+    shared = common.written(run_state(content, at).where("n > 1"), "shared", n)
     near, far = common.parts(content, "digest", shared)
     alone = far.select(F.col("id").alias("doc_id"), "place", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     # what a bitmap let through too much is alone, too
     found = near.select("id", "place", "digest").join(shared, "digest", "left")
     size, keep = F.coalesce("n", F.lit(1)), F.coalesce("keep_place", "place")
     made = found.select(F.col("id").alias("doc_id"), "place", "digest", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), size.alias("group_size"), (F.col("place") == keep).alias("kept"))
-    made = common.written(made, "decided")
+    made = common.written(made, "decided", n)
     texts = near.select("id", "place", "digest", normalised(F.col("row.text")).alias("text"))
     equal = texts.groupBy("digest", "text").agg(*_kept())
-    bad = common.written(equal.select("digest", F.col("n").alias("m")).join(shared, "digest").where("m < n").select("digest").distinct(), "unequal")
+    bad = common.written(equal.select("digest", F.col("n").alias("m")).join(shared, "digest").where("m < n").select("digest").distinct(), "unequal", n)
     if not bad.isEmpty():
         own = texts.join(bad, "digest").join(common.written(equal.join(bad, "digest"), "regrouped"), ["digest", "text"])
         own = own.select(F.col("id").alias("doc_id"), "place", "digest", "keep_id", F.col("n").alias("group_size"), (F.col("place") == F.col("keep_place")).alias("kept"))
@@ -128,9 +129,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Only rows whose place may be that of a row that goes are read into a shuffle.
     """
     made, content = decided(docs)
-    gone = common.written(made.where("NOT kept").select("place"), "gone")
+    gone = made.where("NOT kept").select("place")
     near, far = common.parts(content.select("place", "row"), "place", gone)
-    return far.select("row").unionByName(near.join(gone, "place", "left_anti").select("row")).select("row.*")
+    stays = common.gathered(near.join(gone, "place", "left_anti").select("row"), content.count())
+    return far.select("row").unionByName(stays).select("row.*")
 
 
 SQL = """

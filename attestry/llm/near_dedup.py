@@ -15,7 +15,8 @@ registers. Two signatures agree in a register with the probability Jaccard simil
 
 Defined results: similarity is the exact probability Jaccard, LEAST or more; a text of fewer than five words has one
 shingle; a text without words is alone in its class, as is a null one; rows repeated with one doc_id and text are of
-one class; other columns are ignored (the stage keeps them).
+one class; texts are read whole, however long; an empty table gives an empty result; other columns are ignored (the
+stage keeps them).
 """
 
 from __future__ import annotations
@@ -38,10 +39,11 @@ from .shingles import Words, chunks, forget, mixed, slices, sums
 SHINGLE, LEAST = 5, 0.8
 #: Registers, and registers in a band: texts of similarity 0.8 share a band with probability 0.998.
 REGISTERS, BAND = 80, 5
-#: Registers that must agree before a pair is verified: four standard deviations below what 0.8 gives.
+#: Registers that must agree before a pair is verified: four standard deviations below what 0.8 gives. With 0 every pair
+#: that shares a band is verified.
 AGREE = 50
-#: Classes of a bucket that meet in a plain join; sides of a tile in larger ones.
-SMALL, TILE = 32, (512, 2048)
+#: Classes of a bucket that meet in a plain join; sides of a tile in larger ones, in classes and in bytes of their sets.
+SMALL, TILE, TILE_BYTES = 32, (256, 1024), (2 << 20, 8 << 20)
 _words = re.compile(r"[^\W_]+").findall
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -137,24 +139,24 @@ def signed(docs: DataFrame) -> DataFrame:
     return common.written(rows.mapInArrow(run, "uid long, doc_id long, th long, key binary, bands array<long>, sig array<int>"), "signatures")
 
 
-def _agree(a: str, b: str) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= AGREE
+def _agree(a: str, b: str, least: int) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= least
 
 
-def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, sigs: DataFrame, agree: int) -> DataFrame:
     """Distinct pairs (a, b) whose signatures agree in enough registers."""
     return (
         pairs.distinct()
         .join(sigs.select(F.col("uid").alias("a"), F.col("sig").alias("sa")), "a")
         .join(sigs.select(F.col("uid").alias("b"), F.col("sig").alias("sb")), "b")
-        .where(_agree("sa", "sb"))
+        .where(_agree("sa", "sb", agree))
         .select("a", "b")
     )
 
 
-def _sets(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """uid, set (hashes and weights of the shingles) of the classes in ids; only texts that may be theirs are shuffled."""
-    wanted = common.written(reps.join(ids.distinct(), "uid").select("uid", F.coalesce("doc_id", F.lit(-1)).alias("_key"), "th"), "wanted")
+    wanted = common.written(reps.join(ids.distinct(), "uid").select("uid", F.coalesce("doc_id", F.lit(-1)).alias("_key"), "th"), "wanted", n)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_key"), F.xxhash64("text").alias("th"), "text")
     near, _ = common.parts(rows, "_key", wanted)
     texts = near.join(wanted, ["_key", "th"]).select("uid", "text").dropDuplicates(["uid"])
@@ -172,7 +174,7 @@ def _sets(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
         forget()
         common.release()
 
-    return common.written(texts.select("uid", shingled.asNondeterministic()("text").alias("set")), "sets")
+    return common.written(texts.select("uid", shingled.asNondeterministic()("text").alias("set")), "sets", 10 * n)  # long rows
 
 
 def _unpacked(s: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +182,9 @@ def _unpacked(s: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(s, np.uint64, n), np.frombuffer(s, np.uint32, n, n * 8)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) whose exact similarity is `least` or more."""
-    sets = _sets(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))), reps, docs)
+    sets = _sets(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))), reps, docs, n)
 
     @F.pandas_udf("double")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -191,16 +193,19 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, least: float)
         common.release()
 
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
-    return common.written(both.select("a", "b", alike.asNondeterministic()("x", "y").alias("s")).where(F.col("s") >= least - 1e-9).select("a", "b"), "links")
+    return common.written(both.select("a", "b", alike.asNondeterministic()("x", "y").alias("s")).where(F.col("s") >= least - 1e-9).select("a", "b"), "links", pairs.count())
 
 
-def _tiles(crowded: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _tiles(crowded: DataFrame, sets: DataFrame, least: float, agree: int) -> DataFrame:
     """Links (a, b) between components, of classes outside their bucket's largest component with all others of it.
 
-    Both sides of a tile are of bounded size, and a tile gives fewer links than it holds components.
+    Both sides of a tile are bounded, in classes and in bytes, and a tile gives fewer links than it holds components.
     """
-    rows = crowded.join(sets, "uid")
-    down, across = F.ceil(F.col("strays") / TILE[0]).cast("int"), F.ceil(F.col("n") / TILE[1]).cast("int")
+    stray, size = F.col("root") != F.col("large"), F.octet_length("set").cast("long")
+    sized = crowded.join(sets.select("uid", size.alias("size")), "uid").groupBy("band", "bucket").agg(F.count_if(stray).alias("strays"), F.count(F.lit(1)).alias("n"), F.sum(F.when(stray, F.col("size"))).alias("stray_bytes"), F.sum("size").alias("bytes"))
+    sides = [F.ceil(F.greatest(F.col(k) / TILE[i], F.col(b) / TILE_BYTES[i])).cast("int").alias(c) for i, (k, b, c) in enumerate((("strays", "stray_bytes", "down"), ("n", "bytes", "across")))]
+    rows = crowded.join(common.written(sized.select("band", "bucket", *sides), "tiled"), ["band", "bucket"]).join(sets, "uid")
+    down, across = F.col("down"), F.col("across")
     part = lambda n, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), n).cast("int")
     cols, key = ["uid", "root", "sig", "set", "band", "bucket", "i", "j"], ["band", "bucket", "i", "j"]
     left = rows.where("root <> large").withColumn("i", part(down, 1)).withColumn("j", F.explode(F.sequence(F.lit(0), across - 1))).select(cols)
@@ -211,13 +216,13 @@ def _tiles(crowded: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         out: list[tuple[int, int]] = []
         if len(x) and len(y):
             mine, theirs = [_unpacked(s) for s in x["set"]], [_unpacked(s) for s in y["set_"]]
-            out = joined_by(np.stack(x["sig"].to_list()), np.stack(y["sig_"].to_list()), mine, theirs, *(c.to_numpy() for c in (x["uid"], y["uid_"], x["root"], y["root_"])), least)
+            out = joined_by(np.stack(x["sig"].to_list()), np.stack(y["sig_"].to_list()), mine, theirs, *(c.to_numpy() for c in (x["uid"], y["uid_"], x["root"], y["root_"])), least, agree)
         return pd.DataFrame(out, columns=["a", "b"])
 
     return left.groupBy(key).cogroup(right.groupBy([f"{c}_" for c in key])).applyInPandas(run, "a long, b long")
 
 
-def joined_by(sa, sb, mine: list, theirs: list, ua, ub, ra, rb, least: float) -> list[tuple[int, int]]:
+def joined_by(sa, sb, mine: list, theirs: list, ua, ub, ra, rb, least: float, agree: int = 0) -> list[tuple[int, int]]:
     """Pairs (of ua, of ub) that are similar and join two of the components ra, rb, as few as will do."""
     hashes = np.concatenate([h for h, _ in [*mine, *theirs]])
     ids = np.unique(hashes, return_inverse=True)[1]
@@ -236,7 +241,7 @@ def joined_by(sa, sb, mine: list, theirs: list, ua, ub, ra, rb, least: float) ->
 
     out = []
     for k in range(len(sa)):
-        near = ((sb == sa[k]).sum(axis=1) >= AGREE) & (rb != ra[k])
+        near = ((sb == sa[k]).sum(axis=1) >= agree) & (rb != ra[k])
         if not near.any():
             continue
         own = ids_a[at_a[k]:at_a[k + 1]]
@@ -260,40 +265,45 @@ def joined_by(sa, sb, mine: list, theirs: list, ua, ub, ra, rb, least: float) ->
     return out
 
 
-def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """uid, doc_id, th, class (a number), class_id (the least doc_id of the class), class_size, keep_uid."""
+def classes(docs: DataFrame, least: float = LEAST, agree: int = AGREE) -> DataFrame:
+    """uid, doc_id, th, class (a number), class_id (the least doc_id of the class), class_size, keep_uid.
+
+    agree: registers in which signatures must agree before a pair is verified; 0 verifies every pair that shares a band.
+    """
     rows = signed(docs)
+    n = rows.count()
+    per = REGISTERS // BAND * n  # rows of bands, at most
     groups = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("uid").alias("rep"))
-    groups = common.written(groups, "groups")
+    groups = common.written(groups, "groups", n)
     reps = rows.join(groups.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    members = common.written(reps.select("uid", F.posexplode("bands").alias("band", "bucket")), "bands")
+    members = common.written(reps.select("uid", F.posexplode("bands").alias("band", "bucket")), "bands", per)
     pivot = F.min(F.struct(F.xxhash64("uid", "band").alias("h"), "uid")).alias("pivot")
     buckets = members.groupBy("band", "bucket").agg(pivot, F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket", F.col("pivot.uid").alias("lead"), "n")
-    shared = common.written(members.join(buckets, ["band", "bucket"]).select("uid", "lead", "band", "bucket", "n"), "shared")
+    shared = common.written(members.join(buckets, ["band", "bucket"]).select("uid", "lead", "band", "bucket", "n"), "shared", per)
     sigs = reps.select("uid", "sig")
     stars = shared.where("uid <> lead").select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b"))
-    links = _verified(common.written(_near(stars, sigs), "stars"), reps, docs, least)
-    roots = common.written(components(links), "roots")
+    links = _verified(common.written(_near(stars, sigs, agree), "stars", per), reps, docs, n, least)
+    roots = common.written(components(links, per), "roots", n)
     # with two classes in a bucket its one pair has been seen
     placed = shared.where("n > 2").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "band", "bucket", "n", F.coalesce("root", "uid").alias("root"))
     each = placed.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("m"))
-    open_ = each.groupBy("band", "bucket").agg(F.max_by("root", "m").alias("large"), F.count(F.lit(1)).alias("k"), F.max("m").alias("m")).where("k > 1").select("band", "bucket", "large", "m")
-    still = common.written(placed.join(open_, ["band", "bucket"]).join(sigs, "uid").select("uid", "root", "sig", "band", "bucket", "large", "n", (F.col("n") - F.col("m")).alias("strays")), "open")
-    few, crowded = still.where(F.col("n") <= SMALL), still.where(F.col("n") > SMALL)
+    open_ = each.groupBy("band", "bucket").agg(F.max_by("root", "m").alias("large"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "bucket", "large")
+    still = common.written(placed.join(open_, ["band", "bucket"]).join(sigs, "uid").select("uid", "root", "sig", "band", "bucket", "large", "n"), "open", per)
+    few, crowded = still.where(F.col("n") <= SMALL), still.where(F.col("n") > SMALL).drop("n")
     left, right = (few.select(F.col("uid").alias(s), F.col("root").alias(f"r{s}"), F.col("sig").alias(f"s{s}"), "band", "bucket") for s in "ab")
-    pairs = left.join(right, ["band", "bucket"]).where((F.col("ra") < F.col("rb")) & _agree("sa", "sb")).select("a", "b")
-    more = [_verified(common.written(pairs.distinct(), "pairs"), reps, docs, least)]
+    pairs = left.join(right, ["band", "bucket"]).where((F.col("ra") < F.col("rb")) & _agree("sa", "sb", agree)).select("a", "b")
+    more = [_verified(common.written(pairs.distinct(), "pairs", SMALL * per), reps, docs, n, least)]
     if not crowded.isEmpty():
-        more.append(common.written(_tiles(crowded, _sets(crowded.select("uid"), reps, docs), least), "tiles"))
-    more = common.written(reduce(DataFrame.unionByName, more), "more")
+        more.append(common.written(_tiles(crowded, _sets(crowded.select("uid"), reps, docs, n), least, agree), "tiles"))
+    more = reduce(DataFrame.unionByName, more)
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        roots = components(links.unionByName(more), (SMALL + 1) * per)
     # written, so that Spark may split a hot key or class in the joins with them
-    at = common.written(groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("class")), "at")
+    at = common.written(groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("class")), "at", n)
     placed = rows.select("uid", "doc_id", "th", "key").join(at, "key", "left").select("uid", "doc_id", "th", F.coalesce("class", "uid").alias("class"))
-    placed = common.written(placed, "placed")
+    placed = common.written(placed, "placed", n)
     sizes = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("k"), F.count(F.lit(1)).alias("class_size"))
-    sizes = common.written(sizes, "sizes")
+    sizes = common.written(sizes, "sizes", n)
     return placed.join(sizes, "class").select("uid", "doc_id", "th", "class", F.col("k.doc_id").alias("class_id"), F.col("class_size"), F.col("k.uid").alias("keep_uid"))
 
 
@@ -308,11 +318,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Only rows that may have to go are read into a shuffle.
     """
     common.prepare(spark)
-    found = common.written(classes(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), "th", (F.col("uid") == F.col("keep_uid")).alias("kept")), "kept")
+    found = classes(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), "th", (F.col("uid") == F.col("keep_uid")).alias("kept"))
+    n = docs.count()
+    found = common.written(found, "kept", n)
     gone = found.where("NOT kept").select("_key", "th").distinct()
     stays = found.where("kept").join(gone, ["_key", "th"]).select("_key", "th")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_key"), F.xxhash64("text").alias("th"))
     near, far = common.parts(row, "_key", gone.select("_key"))
     free = near.join(gone, ["_key", "th"], "left_anti")
     once = near.join(stays, ["_key", "th"], "left_semi").dropDuplicates(["_key", "th"])
-    return far.unionByName(free).unionByName(once).select("row.*")
+    return far.select("row").unionByName(common.gathered(free.select("row").unionByName(once.select("row")), n)).select("row.*")

@@ -170,7 +170,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     salts = max(16, common.partitions(spark))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int"))
     by = rows.groupBy("first", "salt").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"))
-    by = common.written(by, "lengths")
+    by = common.written(by, "lengths", capacity * salts)
     sums = by.groupBy("first").agg(F.sum("c").alias("c"), F.max("most").alias("most")).collect()  # at most `capacity` rows
     if not sums:
         return spark.createDataFrame([], RESULT)

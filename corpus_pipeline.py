@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. Between stages the rows are
 written as Parquet and read again. Rejected documents go, equal ones and near-duplicates leave one row, secrets are
 masked, and what remains is packed.
+
+Defined results: a null text counts as empty; such documents aren't toxic, equal each other as exact copies (the largest
+doc_id stays, one with a null doc_id only if there is no other), have no near-duplicates and are packed as their closing
+id; rows repeated with one doc_id are copies of each other if their texts are equal, and documents of their own if not;
+of near-duplicates the least doc_id stays; texts are read whole, however long; columns that documents have besides are
+kept by all stages but the last, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
