@@ -27,7 +27,6 @@ from . import common
 
 #: Distinct pieces that a worker remembers, in two generations of this size.
 REMEMBERED = 250_000
-SPACE = r"\t-\r \x85\xa0  -     　"
 
 
 def byte_letters() -> list[str]:

@@ -13,24 +13,36 @@ from pyspark.sql import functions as F
 
 from ..cluster import gathered, new_path, remove_shared, shared_dir, ship, written
 
-__all__ = ["exists", "flagged", "gathered", "key_bitmap", "maybe_in", "new_path", "partitions", "parts", "prepare", "release", "remove_shared", "shared_dir", "ship", "table", "tokenizer_path", "written"]
+__all__ = ["exists", "flagged", "gathered", "key_bitmap", "maybe_in", "new_path", "partitions", "parts", "prepare", "release", "remove_shared", "restore", "shared_dir", "ship", "table", "tokenizer_path", "written"]
 
 #: Positions of a key bitmap: 2 MB in all, whatever the input's size.
 BITMAP_BITS = 24
-#: Rows that go to Python at a time.
-BATCH = 1_000
+#: Bytes of rows that go to Python at a time, and the setting that says so.
+BATCH, BATCH_SETTING = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+_before: dict[str, str | None] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def prepare(spark: SparkSession, rows: int = BATCH) -> None:
-    """Before a job with Python in it: ship the code, and let fewer rows at a time go to Python, as texts are long."""
+def prepare(spark: SparkSession) -> None:
+    """Before a job with Python in it: ship the code, and let fewer bytes at a time go to Python, as texts are long.
+
+    The setting is read when a result is computed, so it holds until ``restore``; results don't depend on it.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING))
+    if now > BATCH:
+        _before.setdefault(spark.sparkContext.applicationId, spark.conf.get(BATCH_SETTING))
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
+def restore(spark: SparkSession) -> None:
+    """Give the session its setting back; operators whose results are computed do so, others' callers may."""
+    before = _before.pop(spark.sparkContext.applicationId, None)
+    if before is not None:
+        spark.conf.set(BATCH_SETTING, before)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

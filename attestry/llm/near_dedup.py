@@ -309,7 +309,9 @@ def classes(docs: DataFrame, least: float = LEAST, agree: int = AGREE) -> DataFr
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    return classes(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", (F.col("uid") == F.col("keep_uid")).alias("kept"))
+    found = classes(common.table(spark, sf_dir, "documents"))
+    common.restore(spark)
+    return found.select("doc_id", "class_id", "class_size", (F.col("uid") == F.col("keep_uid")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -318,7 +320,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Only rows that may have to go are read into a shuffle.
     """
     common.prepare(spark)
-    found = classes(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), "th", (F.col("uid") == F.col("keep_uid")).alias("kept"))
+    found = classes(docs)
+    common.restore(spark)
+    found = found.select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), "th", (F.col("uid") == F.col("keep_uid")).alias("kept"))
     n = docs.count()
     found = common.written(found, "kept", n)
     gone = found.where("NOT kept").select("_key", "th").distinct()

@@ -224,7 +224,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEAREST, blocks: tu
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     rows = common.table(spark, sf_dir, "embeddings")
-    return nearest(rows.where(F.col("vec_id") % EVERY == 0), rows)
+    found = nearest(rows.where(F.col("vec_id") % EVERY == 0), rows)
+    common.restore(spark)
+    return found
 
 
 SQL = """

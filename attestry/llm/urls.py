@@ -230,4 +230,6 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, head: int = H
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    return judged(common.table(spark, sf_dir, "pages"))
+    found = judged(common.table(spark, sf_dir, "pages"))
+    common.restore(spark)
+    return found

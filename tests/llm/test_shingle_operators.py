@@ -182,6 +182,33 @@ def test_crowded_buckets_are_resolved_in_tiles(docs, monkeypatch):
     check_classes(rows, D.classes(docs(rows)).collect())
 
 
+def test_tiles_are_bounded_by_bytes(docs, monkeypatch):
+    monkeypatch.setattr(D, "SMALL", 2)
+    monkeypatch.setattr(D, "TILE_BYTES", (3_000, 9_000))
+    rows = near_copies(6)
+    check_classes(rows, D.classes(docs(rows)).collect())
+
+
+def test_links_near_the_threshold(docs):
+    """Pairs of similarity 0.8 and little more: a miss has a probability of 0.002 at 0.8, and less above."""
+    rng = random.Random(17)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfgkmnprst" for b in "aeiou" for c in "lmnrst"]
+    rows, links = [], 0
+    for i in range(150):
+        base = rng.choices(vocabulary, k=300)
+        other = list(base)
+        while jaccard(shingles(" ".join(base)), shingles(" ".join(other))) >= 0.84:
+            other[rng.randrange(300)] = rng.choice(vocabulary)
+        alike = jaccard(shingles(" ".join(base)), shingles(" ".join(other)))
+        links += alike >= 0.8
+        rows += [(2 * i, " ".join(base), alike), (2 * i + 1, " ".join(other), alike)]
+    for agree in (D.AGREE, 0):
+        of = {r["doc_id"]: r["class"] for r in D.classes(docs([r[:2] for r in rows]), agree=agree).collect()}
+        found = sum(of[i] == of[i + 1] for i, _, alike in rows[::2] if alike >= 0.8)
+        assert links > 100 and found >= 0.98 * links
+        assert not any(of[i] == of[i + 1] for i, _, alike in rows[::2] if alike < 0.8 - 1e-9)
+
+
 def test_stage_and_empty_tables(docs, spark):
     assert D.classes(docs([])).collect() == [] and D.stage(spark, docs([]), "").collect() == []
     rows = near_copies()

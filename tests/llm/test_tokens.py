@@ -66,6 +66,29 @@ def library_of(name):
     return _libraries.setdefault(name, library(name))
 
 
+def test_batches_are_bounded_by_bytes_until_restored(spark, sample):
+    from attestry.llm import neighbours
+
+    before = spark.conf.get(common.BATCH_SETTING)
+    common.restore(spark)
+    given = spark.conf.get(common.BATCH_SETTING)
+    try:
+        common.prepare(spark)
+        common.prepare(spark)
+        assert spark.conf.get(common.BATCH_SETTING) == str(common.BATCH)
+        common.restore(spark)
+        assert spark.conf.get(common.BATCH_SETTING) == given
+        spark.conf.set(common.BATCH_SETTING, "1000")  # a smaller one of the caller's stays
+        common.prepare(spark)
+        assert spark.conf.get(common.BATCH_SETTING) == "1000"
+        common.restore(spark)
+        spark.conf.set(common.BATCH_SETTING, given)
+        neighbours.op5(spark, sample)
+        assert spark.conf.get(common.BATCH_SETTING) == given
+    finally:
+        spark.conf.set(common.BATCH_SETTING, before)
+
+
 def test_memory_is_bounded():
     m = bpe.Memory(str.upper, 10)
     assert [m[f"k{i}"] for i in range(100)] == [f"K{i}" for i in range(100)]
