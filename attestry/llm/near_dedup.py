@@ -332,3 +332,22 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     free = near.join(gone, ["_key", "th"], "left_anti")
     once = near.join(stays, ["_key", "th"], "left_semi").dropDuplicates(["_key", "th"])
     return far.select("row").unionByName(common.gathered(free.select("row").unionByName(once.select("row")), n)).select("row.*")
+
+
+#: All pairs, exactly. What the signatures miss (see BAND) would differ; on the test tables they miss nothing.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+c AS (SELECT w, row_number() OVER () AS c FROM (SELECT DISTINCT w FROM d WHERE len(w) > 0)),
+g AS (SELECT c, array_to_string(list_slice(w, i, i + 4), ' ') AS g, count(*)::DOUBLE AS n FROM c, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) GROUP BY ALL),
+t AS (SELECT c, sum(n) AS n FROM g GROUP BY c),
+m AS (SELECT a.c AS x, b.c AS y, a.g, a.n AS nx, b.n AS ny FROM g a JOIN g b ON a.g = b.g AND a.c < b.c),
+p AS (SELECT x, y FROM m JOIN t tx ON tx.c = x JOIN t ty ON ty.c = y GROUP BY x, y HAVING sum(least(nx / tx.n, ny / ty.n)) >= 0.8 - 1e-9),
+u AS (SELECT x, y, g, max(nx) AS nx, max(ny) AS ny FROM (SELECT x, y, g, n AS nx, 0 AS ny FROM p JOIN g ON g.c = x UNION ALL SELECT x, y, g, 0, n FROM p JOIN g ON g.c = y) GROUP BY x, y, g),
+j AS (SELECT i.x, i.y, i.g, sum(greatest(o.nx / i.nx, o.ny / i.ny)) AS s FROM u i JOIN u o ON i.x = o.x AND i.y = o.y WHERE i.nx > 0 AND i.ny > 0 GROUP BY ALL),
+l AS (SELECT x, y FROM j GROUP BY x, y HAVING sum(1 / s) >= 0.8 - 1e-9),
+e AS (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l),
+r AS (SELECT c AS node, c AS seen FROM c UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node),
+k AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN (SELECT min(seen) FROM r WHERE r.node = c.c) ELSE -doc_id - 1 END AS class FROM d LEFT JOIN c USING (w)),
+z AS (SELECT class, min(doc_id) AS class_id, count(*) AS class_size FROM k GROUP BY class)
+SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM k JOIN z USING (class)
+"""

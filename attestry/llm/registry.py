@@ -15,10 +15,17 @@ QUERIES = {
     "op5_neighbours": neighbours.op5,
     "op6_substrings": substrings.op6,
     "op7_near_dedup": near_dedup.op7,
+    # parts of operators that SQL can express
+    "urls_ruled": urls.ruled_pages,
+    "secrets_counted": secrets.counted,
 }
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": exact_dedup.SQL,
     "op5_neighbours": neighbours.SQL,
     "op6_substrings": substrings.SQL,
+    "op7_near_dedup": near_dedup.SQL,
+    "op2_url_filter": urls.SQL,
+    "urls_ruled": urls.RULES_SQL,
+    "secrets_counted": secrets.COUNTS_SQL,
 }

@@ -232,4 +232,46 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     found = judged(common.table(spark, sf_dir, "pages"))
     common.restore(spark)
-    return found
+    return found.drop("score")
+
+
+def ruled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone decide, for every page: page_id, host, path, rule, verdict (null where no rule fits)."""
+    found = op2(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+_RULED = """
+WITH p AS (SELECT row_number() OVER () AS id, page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
+f AS (SELECT id, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS verdict FROM p, (SELECT *, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS s FROM r) WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY id),
+u AS (SELECT id, page_id, url, host, path, rule, verdict FROM p LEFT JOIN f USING (id))"""
+RULES_SQL = _RULED + " SELECT page_id, host, path, rule, verdict FROM u"
+
+
+def _chance(side: str) -> str:
+    """A character's probability, from counts of its n-grams (g0, g1, ...) and their contexts (c0, c1, ...)."""
+    out = "1.0 / 256"
+    for k in range(ORDER + 1):
+        out = f"(coalesce(g{k}.{side}, 0) + {SMOOTH} * {out}) / (coalesce(c{k}.{side}, 0) + {SMOOTH})"
+        out = f"({out})"
+    return out
+
+
+#: The same models, their counts by the hexadecimal text of n-grams; crc32 bit by bit.
+SQL = f"""{_RULED},
+crcs AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END)) AS tab),
+v AS (SELECT id, verdict, '{'ff' * ORDER}' || lower(hex(encode(url))) || 'fe' AS x, octet_length(encode(url)) + 1 AS n,
+  xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode(url))), lambda i: ('0x' || substr(hex(encode(url)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) % 5 = 0 AS held FROM u, crcs),
+s AS (SELECT id, CASE WHEN verdict IS NULL OR held THEN 'asked' ELSE verdict END AS use, substr(x, 2 * i + 1, {2 * ORDER + 2}) AS g FROM v, unnest(range(n)) AS t(i)),
+g AS (SELECT k, right(g, 2 * k + 2) AS g, count(*) FILTER (use = 'allow') AS a, count(*) FILTER (use = 'block') AS r FROM s, unnest(range({ORDER + 1})) AS t(k) WHERE use <> 'asked' GROUP BY ALL),
+c AS (SELECT k, left(g, 2 * k) AS c, sum(a) AS a, sum(r) AS r FROM g GROUP BY ALL),
+q AS (SELECT q.g, round((ln({_chance('a')}) - ln({_chance('r')})) * {1 << FINE}) AS step FROM (SELECT DISTINCT g FROM s WHERE use = 'asked') AS q
+  {' '.join(f"LEFT JOIN g AS g{k} ON g{k}.k = {k} AND g{k}.g = right(q.g, {2 * k + 2}) LEFT JOIN c AS c{k} ON c{k}.k = {k} AND c{k}.c = left(right(q.g, {2 * k + 2}), {2 * k})" for k in range(ORDER + 1))}),
+z AS (SELECT s.id, sum(step) / count(*) / {1 << FINE} AS score FROM s JOIN q USING (g) WHERE use = 'asked' GROUP BY s.id),
+h AS (SELECT verdict, floor(greatest(0, least({BINS} - 1, (score + {SPAN}) / {2 * SPAN} * {BINS}))) AS bin FROM z JOIN v USING (id) WHERE verdict IS NOT NULL),
+w AS (SELECT t, (SELECT avg((bin < t)::INT) FROM h WHERE verdict = 'allow') + 1 - (SELECT avg((bin < t)::INT) FROM h WHERE verdict = 'block') AS wrong FROM unnest(range({BINS} + 1)) AS r(t)),
+b AS (SELECT list(t ORDER BY t) AS best FROM w WHERE wrong <= (SELECT min(wrong) FROM w) + 1e-12),
+l AS (SELECT coalesce(best[len(best) // 2 + 1] / {BINS} * {2 * SPAN} - {SPAN}, 0.0) AS least, (SELECT count(DISTINCT use) FROM s WHERE use <> 'asked') = 2 AS learned FROM b)
+SELECT page_id, host, path, rule, coalesce(u.verdict, CASE WHEN NOT learned OR score >= least THEN 'allow' ELSE 'block' END) AS verdict FROM u LEFT JOIN z USING (id), l
+"""

@@ -237,3 +237,16 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_sql_of_classes_agrees(spark, sample):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sample}/documents.parquet'")
+    got = sorted(tuple(r[c] for c in ("doc_id", "class_id", "class_size", "kept")) for r in D.op7(spark, sample).collect())
+    assert got == sorted(con.sql(D.SQL).project("doc_id, class_id, class_size, kept").fetchall())
+    rows = [r for r in near_copies() if r[0] not in (None, 905)]
+    documents = __import__("pandas").DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    sql = [dict(zip(("doc_id", "class"), r, strict=True)) for r in duckdb.sql(D.SQL).project("doc_id, class_id").fetchall()]
+    check_classes(rows, sql)

@@ -126,3 +126,16 @@ def test_the_whole_url_is_read(spark):
     rows += [(1000, "http://q.org/x?q=casino77"), (1001, "http://q.org/x?q=garden77"), (1002, "http://q.org/" + "long" * 20_000)]
     got = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[1000]["score"] < got[1001]["score"] and len(got) == len(rows) and got[1002]["path"].startswith("/long")
+
+
+def test_sql_agrees(spark, sample):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sample}/pages.parquet'")
+    got = sorted(tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in urls.op2(spark, sample).collect())
+    assert got == sorted(con.sql(urls.SQL).project("page_id, host, path, rule, verdict").fetchall(), key=lambda r: r[:1])
+    assert {r[4] for r in got if r[3] is None} == {"allow", "block"}
+    con.sql("CREATE OR REPLACE VIEW pages AS SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if u is None else repr(u)})" for i, u in enumerate(ODD)) + ") AS t(page_id, url)")
+    for i, host, path, rule, verdict in con.sql(urls.RULES_SQL).project("page_id, host, path, rule, verdict").fetchall():
+        assert (host, path, rule, verdict) == plain(ODD[i])
