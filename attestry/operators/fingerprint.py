@@ -23,7 +23,7 @@ from ..sources.order import ROW, with_row
 from .profile import type_name
 
 #: Rows of a small block; encoded bytes that go to a task together (about), that are hashed at once, and of a region (as a power of 2).
-BLOCK, GROUP, PIECE, REGION = 1 << 7, 32 << 20, 8 << 20, 35
+BLOCK, GROUP, PIECE, REGION = 1 << 7, 8 << 20, 8 << 20, 35
 #: Bytes of Arrow data that are encoded at once, about.
 SLICE = 1 << 20
 
