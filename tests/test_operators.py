@@ -16,12 +16,14 @@ import attestry
 from attestry import cli
 from attestry.errors import DuplicateKey, InvalidContract, MissingColumn, NoKeyColumns, SchemaMismatch, UnsupportedType
 from attestry.functions.blake3 import blake3
-from attestry.functions.canonical import header, value_bytes
+from attestry.functions.canonical import header
 from attestry.operators.fingerprint import fingerprint
 from attestry.operators.profile import type_name
 from attestry.plans.contract import parse
 from attestry.sources.order import ROW, with_row
 
+from .plain_canonical import value_bytes
+
 USERS = pa.table({"id": [1, 2, 3], "email": ["a@x.com", "b@x.com", "c@x.com"], "score": [0.9, 0.4, 0.8]})
 pytestmark = pytest.mark.usefixtures("spark")
 
