@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import written
+from ..cluster import shared_dir, written
 
 ROW = "__row"
 #: Logical plans that leave rows where they are, and such as read data that lie still.
@@ -36,7 +36,15 @@ def with_row(df: DataFrame, row: str | Column | None = None) -> DataFrame:
         except AnalysisException:
             pass  # not of files
     placed = df.withColumn("__id", F.monotonically_increasing_id())
-    return _by_partition(placed if source in STILL else written(placed, "ordered"))
+    return _by_partition(placed if source in STILL else _stilled(placed))
+
+
+def _stilled(placed: DataFrame) -> DataFrame:
+    try:
+        return written(placed, "ordered")
+    except AnalysisException:  # a type that Parquet doesn't hold
+        placed.sparkSession.sparkContext.setCheckpointDir(shared_dir(placed.sparkSession))
+        return placed.checkpoint()
 
 
 def _source(df: DataFrame) -> tuple[str, bool]:

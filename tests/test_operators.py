@@ -373,6 +373,12 @@ def test_row_numbers_are_those_of_the_data_given(spark, tmp_path, kind):
     assert [f["row"] for f in report["findings"]] == [8, 9, 10, 11]
 
 
+def test_row_numbers_of_types_that_files_dont_hold(spark):
+    df = spark.range(50).selectExpr("id AS v", "null AS n", "make_interval(0, 0, 0, cast(id AS int)) AS c").orderBy(F.desc("v"))
+    assert [r["v"] for r in with_row(df).select("v", ROW).orderBy(ROW).collect()] == list(range(49, -1, -1))
+    assert fingerprint(df.select("v", "n")) == plain_fingerprint(df.select("v", "n"), [(v, None) for v in range(49, -1, -1)])
+
+
 def test_fingerprint_is_of_the_order_given(spark, tmp_path):
     parquet.write_table(pa.table({"v": list(range(500))}), tmp_path / "a.parquet", row_group_size=50)
     df = spark.read.parquet(str(tmp_path / "a.parquet"))
