@@ -71,7 +71,12 @@ class _Open:
         self.path, self.places, self.scopes = [self.root], {"html": [0]}, []
 
     def last(self, *names: str) -> int:
-        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+        best = -1
+        for n in names:
+            places = self.places.get(n)
+            if places and places[-1] > best:
+                best = places[-1]
+        return best
 
     def add(self, name: str, attrs: str, stays: bool) -> Node:
         child = Node(name, attrs, self.path[-1])
