@@ -45,6 +45,13 @@ def byte_letters() -> list[str]:
     return out
 
 
+def plain_classes() -> tuple[str, str, str]:
+    """Letters, numbers and white space of plain texts, as the insides of character classes."""
+    seen = sorted({x for c in map(chr, range(0x250)) for x in c + c.lower()})  # some have small letters beyond
+    kind = lambda k: "".join(re.escape(c) for c in seen if unicodedata.category(c)[0] == k)
+    return kind("L"), kind("N"), r"\t-\r \x85\xa0"
+
+
 class Merger:
     """Merges one piece of text at a time."""
 
@@ -133,9 +140,7 @@ class WordCodec:
         self.normalize, self.split = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
         self.merger = Merger(path)
         self.letters = dict(enumerate(self.merger.letters))
-        seen = sorted({x for c in map(chr, range(0x250)) for x in c + c.lower()})  # some have small letters beyond
-        kind = lambda k: "".join(re.escape(c) for c in seen if unicodedata.category(c)[0] == k)
-        letters, numbers, space = kind("L"), kind("N"), r"\t-\r \x85\xa0"
+        letters, numbers, space = plain_classes()
         self.plain = re.compile(f"[{PLAIN}]*").fullmatch
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+").findall
